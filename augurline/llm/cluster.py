@@ -6,10 +6,14 @@ folder through ``pyarrow.fs`` (file, hdfs, s3 and gs addresses); tables go throu
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,16 +45,35 @@ def write_file(address: str, *parts: bytes) -> int:
     fs, path = filesystem(address)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     temporary = f"{path}.tmp-{uuid.uuid4().hex}"
-    with fs.open_output_stream(temporary) as out:
+    with fs.open_output_stream(temporary, compression=None) as out:
         for part in parts:
             out.write(part)
     fs.move(temporary, path)
     return sum(map(len, parts))
 
 
+@contextlib.contextmanager
+def new_file(address: str) -> Iterator[pa.NativeFile]:
+    """A stream into a file that gets its name when all is written; a failed or repeated task leaves no half file."""
+    fs, path = filesystem(address)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    temporary = f"{path}.tmp-{uuid.uuid4().hex}"
+    with fs.open_output_stream(temporary, compression=None) as out:
+        yield out
+    fs.move(temporary, path)
+
+
+def mapped(address: str, kind: str) -> np.ndarray:
+    """A file as an array: memory-mapped where the file system is local, else read."""
+    fs, path = filesystem(address)
+    if isinstance(fs, pafs.LocalFileSystem):
+        return np.memmap(path, np.dtype(kind), "r") if os.path.getsize(path) else np.zeros(0, kind)
+    return np.frombuffer(read_file(address), kind)
+
+
 def read_file(address: str) -> bytes:
     fs, path = filesystem(address)
-    with fs.open_input_stream(path) as stream:
+    with fs.open_input_stream(path, compression=None) as stream:
         return stream.read()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augurline.llm import chat, decontam, licenses, packing, quality
+from augurline.llm import chat, decontam, licenses, ngramjoin, packing, quality, tokenfiles, warc
 from augurline.llm.cluster import stored
 
 
@@ -17,6 +17,16 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), packing.word_lengths())
 
 
+def op2_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenfiles.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
+
+
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
     said = f"{chat.END}{chat.START}assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -42,8 +52,13 @@ def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
 
 
+def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    _, rows = ngramjoin.join(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op5_chat, op6_quality, op8_decontamination, op9_licenses)}
+    return {f.__name__: f for f in (op1_packing, op2_tokens, op3_warc, op5_chat, op6_quality, op8_decontamination, op9_licenses, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
