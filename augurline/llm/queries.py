@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augurline.llm import chat, decontam, licenses, ngramjoin, packing, quality, tokenfiles, warc
+from augurline.llm import chat, decontam, katz, licenses, ngramjoin, packing, quality, tokenfiles, warc
 from augurline.llm.cluster import stored
 
 
@@ -27,6 +27,10 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
 
+def op4_katz(spark: SparkSession, folder: str) -> DataFrame:
+    return katz.score(table(spark, folder, "documents"))[0]
+
+
 def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
     said = f"{chat.END}{chat.START}assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -58,7 +62,7 @@ def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_tokens, op3_warc, op5_chat, op6_quality, op8_decontamination, op9_licenses, op10_jaccard)}
+    return {f.__name__: f for f in (op1_packing, op2_tokens, op3_warc, op4_katz, op5_chat, op6_quality, op8_decontamination, op9_licenses, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
