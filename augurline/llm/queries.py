@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augurline.llm import chat, decontam, katz, licenses, ngramjoin, packing, quality, tokenfiles, warc
+from augurline.llm import chat, decontam, katz, licenses, ngramjoin, packing, quality, tokenfiles, warc, wrappers
 from augurline.llm.cluster import stored
 
 
@@ -46,6 +46,10 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_articles(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.articles(table(spark, folder, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.scan(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
@@ -62,7 +66,7 @@ def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_tokens, op3_warc, op4_katz, op5_chat, op6_quality, op8_decontamination, op9_licenses, op10_jaccard)}
+    return {f.__name__: f for f in (op1_packing, op2_tokens, op3_warc, op4_katz, op5_chat, op6_quality, op7_articles, op8_decontamination, op9_licenses, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
