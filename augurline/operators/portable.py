@@ -1,0 +1,45 @@
+"""The stationary bootstrap in relational form, with integer arithmetic for random numbers.
+
+Two steps of a multiplicative generator modulo 2**31 - 1 over (draw, position) decide restarts and starts; any SQL engine makes the same
+draws.  Rows are (draw, position, column), so this form is for checks and for panels that are small times many draws; the product form
+is augurline.operators.bootstrap.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+PRIME = 2147483647
+
+
+def draws(panel: DataFrame, n_resamples: int, block_length: int) -> DataFrame:
+    """(panel_id, b, pos, idx): the rows of each draw."""
+    sizes = panel.where("col = 0").groupBy("panel_id").agg(F.count(F.lit(1)).alias("n"))
+    grid = sizes.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_resamples - 1).cast("long")))).withColumn("pos", F.explode(F.expr("sequence(0L, n - 1)")))
+    first = ((F.col("b") * 1000003 + F.col("pos") + 1) * 48271) % PRIME
+    grid = grid.withColumn("u", first).withColumn("v", (F.col("u") * 69621 + 7) % PRIME)
+    restart = (F.col("pos") == 0) | (F.col("u") * block_length < PRIME)
+    last = F.last(F.when(restart, F.col("pos") * PRIME + F.col("v") % F.col("n")), ignorenulls=True).over(Window.partitionBy("panel_id", "b").orderBy("pos"))
+    grid = grid.withColumn("last", last)
+    return grid.select("panel_id", "b", "pos", ((F.col("last") % PRIME + F.col("pos") - F.expr(f"last div {PRIME}L")) % F.col("n")).alias("idx"))
+
+
+def means(panel: DataFrame, n_resamples: int, block_length: int) -> DataFrame:
+    """Centred column means of each draw; draws are counted by row before the panel is joined."""
+    counts = draws(panel, n_resamples, block_length).groupBy("panel_id", "b", "idx").agg(F.count(F.lit(1)).alias("m"))
+    centred = panel.withColumn("e", F.col("value") - F.avg("value").over(Window.partitionBy("panel_id", "col")))
+    joined = counts.join(centred.select("panel_id", F.col("t").alias("idx"), "col", "name", "e"), ["panel_id", "idx"])
+    return joined.groupBy("panel_id", "b", "col", "name").agg((F.sum(F.col("m") * F.col("e")) / F.sum("m")).alias("mean"))
+
+
+def family(panel: DataFrame, statistics: DataFrame, n_resamples: int, block_length: int) -> DataFrame:
+    """Marginal and family p-values from studentised draws; statistics has panel_id, col, name, statistic, standard_error.
+
+    The running maximum over columns gives nested families as well: family_k holds the first k columns.
+    """
+    t = means(panel, n_resamples, block_length).join(statistics.select("panel_id", "col", "standard_error"), ["panel_id", "col"]).withColumn("t", F.col("mean") / F.col("standard_error"))
+    top = t.withColumn("nested", F.max("t").over(Window.partitionBy("panel_id", "b").orderBy("col"))).withColumn("top", F.max("t").over(Window.partitionBy("panel_id", "b")))
+    compared = top.select("panel_id", "col", "t", "top", "nested").join(statistics.select("panel_id", "col", "name", "statistic"), ["panel_id", "col"])
+    ge = lambda c: (1 + F.count_if(F.col(c) >= F.col("statistic"))) / F.lit(float(n_resamples + 1))
+    return compared.groupBy("panel_id", "col", "name").agg(ge("t").alias("marginal_pvalue"), ge("top").alias("adjusted_pvalue"), ge("nested").alias("nested_pvalue"))
