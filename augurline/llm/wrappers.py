@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from augurline.llm import textops
+from augurline.llm.cluster import stored
 
 # Fixed values of HTML and of common page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -343,7 +344,7 @@ def infer(pages: DataFrame, parts: int = 64) -> DataFrame:
     return some.groupBy("host").applyInArrow(together, "host string, wrapper string")
 
 
-def articles(pages: DataFrame) -> DataFrame:
+def articles(pages: DataFrame, salts: int = 32) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html), from its host's wrapper.
 
     Null and empty pages have an empty text; null and broken addresses are one host of their own; a page that its host's region
@@ -359,7 +360,8 @@ def articles(pages: DataFrame) -> DataFrame:
         for batch in table:
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([json.dumps(region(json.loads(w))) for w in batch.column("wrapper").to_pylist()])], ["host", "path"])
 
-    paths = infer(rows).mapInArrow(path, "host string, path string")
+    # Stored, so that Spark knows the size: it broadcasts the paths below its own limit, and else the salted hosts spread their pages.
+    paths = stored(infer(rows).mapInArrow(path, "host string, path string"), "wrappers").withColumn("salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textops.small_batches(batches, "html"):
@@ -367,4 +369,5 @@ def articles(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = dict(rows.dtypes)["page_id"]
-    return rows.withColumn("host", host("url")).join(paths, "host", "left").mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long")
+    salted = rows.withColumn("host", host("url")).withColumn("salt", F.expr(f"pmod(xxhash64(page_id), {salts}L)"))
+    return salted.join(paths, ["host", "salt"], "left").mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long")
