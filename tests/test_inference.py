@@ -28,7 +28,8 @@ def slow_hac(v, lags):
 
 def test_special_functions():
     assert special.t_sf(2.0, 5) == pytest.approx(0.0509697394149292, abs=1e-13)
-    assert special.t_ppf(0.975, 10) == pytest.approx(2.2281388519649385, abs=1e-11)
+    t = special.t_ppf(0.975, 10)
+    assert float(certified.student_tail(Fraction(t / math.sqrt(10 + t * t)), 10)) == pytest.approx(0.025, abs=1e-15)
     assert special.beta_cdf(0.3, 2, 5) == pytest.approx(1 - sum(math.comb(6, k) * 0.3**k * 0.7 ** (6 - k) for k in range(2)), abs=1e-14)
     assert special.clopper_pearson_upper(0, 20, 0.05) == pytest.approx(1 - 0.05 ** (1 / 20))
     assert special.wilson(0, 10)[0] == 0 and special.wilson(10, 10)[1] == 1
@@ -141,7 +142,7 @@ def test_exact_parts():
     assert float(certified.moment(2, 4, 20, 1)) == pytest.approx(np.mean(ratios), rel=0.01)
     assert float(certified.moment(2, 4, 20, -2)) == pytest.approx(np.mean(np.power(ratios, -2.0)), rel=0.05)
     intervals, _ = certified.enclosure([(-1, 4), (3, -4)], 12)  # x >= 1/4 and x <= 3/4
-    assert intervals == [(Fraction(1, 4), Fraction(3, 4))]
+    assert len(intervals) == 1 and intervals[0][0] <= Fraction(1, 4) and intervals[0][1] >= Fraction(3, 4) and intervals[0][1] - intervals[0][0] <= Fraction(1, 2) + Fraction(2, 4096)
     assert certified.positive_on([(1, -2)], [(Fraction(0), Fraction(1, 4))], 5, 10)[0]
     assert certified.positive_on([(1, -2)], [(Fraction(0), Fraction(1))], 5, 10)[:2] == (False, False)
 
