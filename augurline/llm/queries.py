@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augurline.llm import chat, decontam, katz, licenses, ngramjoin, packing, quality, tokenfiles, warc, wrappers
+from augurline.llm import chat, decontam, katz, licenses, ngramjoin, packing, quality, sql, tokenfiles, warc, wrappers
 from augurline.llm.cluster import stored
 
 
@@ -70,4 +70,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
