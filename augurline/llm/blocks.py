@@ -60,7 +60,7 @@ def write(df: DataFrame, name: str, text: str = "text", most: int = 12 << 20) ->
         if held:
             yield flush()
 
-    listed = stored(df.mapInArrow(task, "block long, docs long, bytes long"), f"{name}-list")
+    listed = stored(df.mapInArrow(textops.trimmed(task), "block long, docs long, bytes long"), f"{name}-list")
     count, total = listed.selectExpr("count(*)", "coalesce(sum(bytes), 0)").first()
     return Blocks(folder, listed, count, total)
 
@@ -108,7 +108,7 @@ def emitted(blocks: Blocks, emit: Callable[[int], Iterator[tuple[int, dict[str,
                 for bucket, blobs in emit(block):
                     yield row_batch(bucket, block, blobs)
 
-    return blocks.listed.select("block").repartition(max(1, blocks.count)).mapInArrow(task, schema(fields))
+    return blocks.listed.select("block").repartition(max(1, blocks.count)).mapInArrow(textops.trimmed(task), schema(fields))
 
 
 def served(rows: DataFrame, n_buckets: int, serve: Callable[[int, list[Row]], Iterator[tuple[int, dict[str, bytes]]]], fields: tuple[str, ...]) -> DataFrame:
@@ -120,7 +120,7 @@ def served(rows: DataFrame, n_buckets: int, serve: Callable[[int, list[Row]], It
             for block, blobs in serve(own[0][0], own):
                 yield row_batch(own[0][0], block, blobs)
 
-    return rows.repartitionById(n_buckets, "bucket").mapInArrow(task, schema(fields))
+    return rows.repartitionById(n_buckets, "bucket").mapInArrow(textops.trimmed(task), schema(fields))
 
 
 def returned(answers: DataFrame, blocks: Blocks, use: Callable[[int, list[Row]], Iterator[pa.RecordBatch]], out: str) -> DataFrame:
@@ -137,7 +137,7 @@ def returned(answers: DataFrame, blocks: Blocks, use: Callable[[int, list[Row]],
         if own:
             yield from use(block, own)
 
-    return answers.repartition(max(1, blocks.count), "block").sortWithinPartitions("block", "bucket").mapInArrow(task, out)
+    return answers.repartition(max(1, blocks.count), "block").sortWithinPartitions("block", "bucket").mapInArrow(textops.trimmed(task), out)
 
 
 def cut(keys: np.ndarray, n_buckets: int, bits: int) -> list[tuple[int, int, int]]:

@@ -144,7 +144,7 @@ def scan(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_col: s
     schema = StructType([f for f in own.schema.fields if f.name != "text"])
     for name, kind in (("n_words", LongType()), ("n_hit", LongType()), ("n_items", LongType()), ("items", ArrayType(StringType())), ("contaminated", BooleanType())):
         schema = schema.add(name, kind)
-    return own.mapInArrow(task, schema).select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)), "n_words", "n_hit", "n_items", "items", "contaminated")
+    return own.mapInArrow(textops.trimmed(task), schema).select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)), "n_words", "n_hit", "n_items", "items", "contaminated")
 
 
 def found_in(words: list[bytes], blocks: list[str]) -> tuple[int, int, list[str]]:

@@ -147,4 +147,4 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.string())), pa.array([x[2] for x in found], pa.list_(pa.string()))], ["id", "n_sentences", "sentence_ids", "licenses"])
 
     schema = StructType([own.schema["id"]]).add("n_sentences", LongType()).add("sentence_ids", ArrayType(StringType())).add("licenses", ArrayType(StringType()))
-    return own.mapInArrow(task, schema).withColumnRenamed("id", id_col)
+    return own.mapInArrow(textops.trimmed(task), schema).withColumnRenamed("id", id_col)

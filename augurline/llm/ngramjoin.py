@@ -214,7 +214,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", percent
         if held:
             yield send()
 
-    sets = wanted.repartition(max(1, blocks.count), "block").sortWithinPartitions("block", "pos").mapInArrow(fetch, "node binary, root binary, n long, tokens binary")
+    sets = wanted.repartition(max(1, blocks.count), "block").sortWithinPartitions("block", "pos").mapInArrow(textops.trimmed(fetch), "node binary, root binary, n long, tokens binary")
     sets = stored(sets, "join-sets")
 
     # Linked sets share a level; the chunks of each group and level meet in pairs.
@@ -269,4 +269,4 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
             yield from bl.load(folder, block).take(pa.array(at)).to_batches(max_chunksize=1000)
 
     kept = found.where("stays").select("block", "pos")
-    return kept.repartition(max(1, blocks.count), "block").sortWithinPartitions("block", "pos").mapInArrow(task, docs.schema)
+    return kept.repartition(max(1, blocks.count), "block").sortWithinPartitions("block", "pos").mapInArrow(textops.trimmed(task), docs.schema)

@@ -63,7 +63,7 @@ def repeated_words(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def measure(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """The columns of the batches besides the text, and COUNTS."""
-    for batch in textops.small_batches(batches, text, 4 << 20):
+    for batch in textops.small_batches(batches, text):
         for i, j, texts in textops.slices(batch.column(text)):
             lines, dups = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             for k in range(len(texts)):
@@ -80,7 +80,7 @@ def features(df: DataFrame, *, id_col: str = "doc_id", stratum: str = "lang", te
     """One row per row of df: id, stratum and COUNTS; a null text has no words."""
     slim = df.select(F.col(id_col).alias("id"), F.col(stratum).alias("stratum"), F.col(text).alias("text"))
     schema = ", ".join(["id " + dict(slim.dtypes)["id"], "stratum " + dict(slim.dtypes)["stratum"], *(f"{c} long" for c in COUNTS)])
-    return slim.mapInArrow(measure, schema)
+    return slim.mapInArrow(textops.trimmed(measure), schema)
 
 
 def ratio(name: str) -> Column:
@@ -166,4 +166,4 @@ def keep_good(df: DataFrame, cutoffs: dict[tuple[str, str], int], *, stratum: st
     schema = StructType([f for f in own.schema.fields if f.name != "text"])
     for c in COUNTS:
         schema = schema.add(c, LongType())
-    return own.mapInArrow(judged, schema).where(verdict(cutoffs)).select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
+    return own.mapInArrow(textops.trimmed(judged), schema).where(verdict(cutoffs)).select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))

@@ -6,7 +6,10 @@ Two different words share one with a probability of about 2**-60; operators that
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +17,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
-SEGMENT = 1 << 21
+SEGMENT = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -100,9 +103,9 @@ class Texts:
 
     def counted(self, table: np.ndarray) -> np.ndarray:
         """For each text the number of bytes for which table is true."""
-        sums = np.zeros(len(self.data) + 1, np.int64)
+        sums = np.zeros(len(self.data) + 1, np.int64 if len(self.data) >> 31 else np.int32)
         np.cumsum(table[self.data], out=sums[1:])
-        return np.diff(sums[self.offsets])
+        return np.diff(sums[self.offsets].astype(np.int64))
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +121,7 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data, offsets - offsets[0]
 
 
-def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, Texts]]:
+def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, Texts]]:
     """The texts of a column in slices of about `most` bytes and one text at least: (first row, end row, texts)."""
     data, offsets = buffers(column)
     n, i = len(offsets) - 1, 0
@@ -128,6 +131,20 @@ def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, Te
         i = j
 
 
+def trimmed(task: Callable) -> Callable:
+    """The task, giving freed memory back to the system when it ends: idle workers stay alive beside busy ones."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text and one row at least."""
     for batch in batches:

@@ -117,7 +117,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int, *, id_col: st
         yield pa.RecordBatch.from_pydict({"shard": [number], "name": [name], "kind": [kind], "docs": [len(ends) - 1], "tokens": [ends[-1]]}, pa.schema([("shard", pa.int32()), ("name", pa.string()), ("kind", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
     shards, base = [], 0
-    for row in sorted(sorted_rows.mapInArrow(shard, "shard int, name string, kind string, docs long, tokens long").collect()):
+    for row in sorted(sorted_rows.mapInArrow(textops.trimmed(shard), "shard int, name string, kind string, docs long, tokens long").collect()):
         shards.append({"name": row["name"], "kind": row["kind"], "docs": row["docs"], "tokens": row["tokens"], "base": base})
         base += row["tokens"]
     write_file(f"{folder}/manifest.json", json.dumps({"end_id": end_id, "tokens": base, "shards": shards}).encode())
@@ -140,7 +140,7 @@ def read(spark: SparkSession, shards: list[dict]) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(own["id"], pa.int64(), mask=own["valid"] == 0), pa.array(at[:-1] + shard["base"]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame([(s["name"], s["kind"], s["base"]) for s in shards], "name string, kind string, base long")
-    return listed.repartition(len(shards)).mapInArrow(documents, schema)
+    return listed.repartition(len(shards)).mapInArrow(textops.trimmed(documents), schema)
 
 
 def round_trip(df: DataFrame, tokenizer: str, end_id: int, **options) -> DataFrame:

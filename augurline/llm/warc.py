@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from augurline.llm import textops
 from augurline.llm.cluster import filesystem, new_file, shared_folder, shuffle_partitions, stored, write_file
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -124,7 +125,7 @@ def write(pages: DataFrame, folder: str, *, n_shards: int | None = None, roll_by
         columns = list(zip(*made, strict=True)) or [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string())], ["name", "records", "bytes", "sha256"])
 
-    files = [r.asDict() for r in sorted(dealt.mapInArrow(archive, "name string, records long, bytes long, sha256 string").collect())]
+    files = [r.asDict() for r in sorted(dealt.mapInArrow(textops.trimmed(archive), "name string, records long, bytes long, sha256 string").collect())]
     write_file(f"{folder}/MANIFEST.json", json.dumps({"files": files}).encode())
     return files
 
@@ -175,7 +176,7 @@ def read(spark: SparkSession, files: list[dict]) -> DataFrame:
                 yield as_batch(rows)
 
     listed = spark.createDataFrame([(f["name"],) for f in files], "name string")
-    return listed.repartition(len(files)).mapInArrow(records, ROWS)
+    return listed.repartition(len(files)).mapInArrow(textops.trimmed(records), ROWS)
 
 
 def as_batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -339,7 +339,7 @@ def infer(pages: DataFrame, parts: int = 64) -> DataFrame:
             whole = union(whole, json.loads(other))
         return pa.table([table.column("host").combine_chunks()[:1], pa.array([json.dumps(whole)])], ["host", "wrapper"])
 
-    first = pages.mapInArrow(local, "host string, part int, wrapper string")
+    first = pages.mapInArrow(textops.trimmed(local), "host string, part int, wrapper string")
     some = first.groupBy("host", F.expr(f"part % {parts}").alias("group")).applyInArrow(together, "host string, wrapper string")
     return some.groupBy("host").applyInArrow(together, "host string, wrapper string")
 
@@ -370,4 +370,4 @@ def articles(pages: DataFrame, salts: int = 32) -> DataFrame:
 
     kind = dict(rows.dtypes)["page_id"]
     salted = rows.withColumn("host", host("url")).withColumn("salt", F.expr(f"pmod(xxhash64(page_id), {salts}L)"))
-    return salted.join(paths, ["host", "salt"], "left").mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long")
+    return salted.join(paths, ["host", "salt"], "left").mapInArrow(textops.trimmed(read), f"page_id {kind}, url string, text string, n_chars long")
