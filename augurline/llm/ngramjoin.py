@@ -236,6 +236,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", percent
         found = link_forest(tokens, table.column("own").to_pylist(), percent) if len(nodes) > 1 else []
         return pa.table([pa.array([nodes[i] for i, _ in found], pa.binary()), pa.array([nodes[j] for _, j in found], pa.binary())], ["a", "b"])
 
+    # Dealt by all four keys: the chunks of a hot group would else meet in one task, as the joins before leave them there.
+    dealt = dealt.repartition(max(shuffle_partitions(spark), blocks.count), "root", "level", "i", "j")
     links = dealt.groupBy("root", "level", "i", "j").applyInArrow(compare, "a binary, b binary")
     linked = graph.components(links)
 
