@@ -22,6 +22,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--block-length", type=float)
         p.add_argument("--lags", type=int)
         p.add_argument("--seed", type=int, default=0)
+        if name == "audit":
+            p.add_argument("--report", help="also write an HTML page")
         if name == "test":
             p.add_argument("--method", choices=("bootstrap", "gaussian_ar"), default="bootstrap")
             p.add_argument("--format", choices=("json", "csv"), default="json")
@@ -38,6 +40,7 @@ def run(argv: list[str] | None = None) -> int:
 
         from augurline.operators import bootstrap, simulate
         from augurline.plans.shipping import ship
+        from augurline.report import html_report
         from augurline.sources.returns_csv import read_returns_csv
 
         spark = SparkSession.builder.appName("augurline").getOrCreate()
@@ -56,7 +59,9 @@ def run(argv: list[str] | None = None) -> int:
             panel = read_returns_csv(spark, f"file://{source.resolve()}", benchmark=args.benchmark)
             options = {"n_resamples": args.resamples, "block_length": args.block_length, "lags": args.lags, "seed": args.seed}
             if args.command == "audit":
-                found = bootstrap.audit(panel, alpha=args.alpha, **options)
+                found = bootstrap.audit(panel, alpha=args.alpha, **options).cache()
+                if args.report:
+                    Path(args.report).write_text(html_report(found.drop("panel_id", "warnings").orderBy("col"), f"Audit of {source.name}"))
             else:
                 found = bootstrap.test_returns(panel, method=args.method, alpha=args.alpha, **(options if args.method == "bootstrap" else {}))
             frame = found.drop("panel_id").orderBy("col").toPandas()

@@ -54,7 +54,7 @@ def checked_panel(panel: DataFrame) -> DataFrame:
     )
     fine = (F.col("n") >= 8) & (F.col("d") == F.col("n")) & (F.col("bad") == 0) & (F.col("lo") < F.col("hi"))
     whole = per.groupBy("panel_id").agg((F.bool_and(fine) & (F.min("n") == F.max("n")) & (F.min("first") == F.max("first")) & (F.min("last") == F.max("last")) & (F.max("last") - F.min("first") + 1 == F.max("n")) & (F.max("col") + 1 == F.count(F.lit(1)))).alias("fine"))
-    return panel.join(whole, "panel_id").withColumn("value", F.when("fine", F.col("value")).otherwise(F.raise_error(F.lit("a panel must be rectangular, finite, not constant, with 8 rows or more")).cast("double"))).drop("fine")
+    return panel.join(whole, "panel_id").withColumn("value", F.when(F.col("fine"), F.col("value")).otherwise(F.raise_error(F.lit("a panel must be rectangular, finite, not constant, with 8 rows or more")).cast("double"))).drop("fine")
 
 
 def subtract_benchmark(panel: DataFrame, benchmark: str) -> DataFrame:
@@ -183,3 +183,9 @@ def known_phi_t(panel: DataFrame, phi: float) -> DataFrame:
     s = white.groupBy("panel_id", "col", "name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("y") * F.col("y")).alias("yy"))
     s = s.withColumn("mean", F.col("xy") / F.col("xx")).withColumn("statistic", F.col("mean") / F.sqrt((F.col("yy") - F.col("xy") * F.col("mean")) / (F.col("n") - 1) / F.col("xx")))
     return s.select("panel_id", "col", "name", "n", "mean", "statistic", student_tail("statistic", F.col("n") - 1).alias("pvalue"))
+
+
+def tail_statistics(panel: DataFrame, lags: int, target: str = "long_run", phi: float | None = None) -> DataFrame:
+    """Means studentised by the tail-corrected variance; panels may be simulated draws, as many as there are panel ids."""
+    v = tail_variance(panel, lags, target, phi)
+    return v.select("panel_id", "col", "name", (F.col("mean") / F.sqrt(F.col("variance") / F.col("n"))).alias("statistic"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from augurline.functions import special
-from augurline.operators import bootstrap, certified, hac, simulate
+from augurline.operators import bootstrap, certified, hac, reference, simulate
 
 
 def panel(spark, x, panel_id="p"):
@@ -183,6 +183,24 @@ def test_certified_decisions(spark):
         certified.multiscale_test(panel(spark, x), beta=0.2)
 
 
+def test_exact_moments_and_tail_statistics(spark, x):
+    assert reference.ar1_mean_variance(50, 0.6) == pytest.approx((0.6 ** np.abs(np.subtract.outer(np.arange(50), np.arange(50)))).mean())
+    mean, variance = reference.ar1_hac_moments(60, 0.5, 4)
+    rng = np.random.default_rng(6)
+    draws = [slow_hac(simulate.simulate(60, 1, phi=0.5, seed=int(s))[:, 0], 4) for s in rng.integers(0, 1 << 40, 4000)]
+    assert mean == pytest.approx(np.mean(draws), rel=0.03) and variance == pytest.approx(np.var(draws), rel=0.12)
+    assert reference.ar1_hac_moments(200, 0.7, 4)[0] == pytest.approx(2.92, abs=0.01) and reference.ar1_hac_moments(200, 0.9, 4)[0] == pytest.approx(3.77, abs=0.01)
+    got = hac.tail_statistics(panel(spark, x), 3, phi=0.4).orderBy("col").collect()
+    factor = (1.4 / 0.6) / hac.bartlett_mass(0.4, 4)
+    assert [r["statistic"] for r in got] == pytest.approx([x[:, k].mean() / math.sqrt(slow_hac(x[:, k], 3) * factor / 96) for k in range(3)])
+
+
+def test_public_names_load():
+    import augurline
+
+    assert all(getattr(augurline, name) is not None for name in augurline.__all__)
+
+
 def test_simulation(spark):
     x = simulate.simulate(4000, 2, phi=0.6, cross_corr=0.5, seed=1)
     assert np.corrcoef(x[1:, 0], x[:-1, 0])[0, 1] == pytest.approx(0.6, abs=0.05) and x.var() == pytest.approx(1, abs=0.15)
