@@ -394,3 +394,49 @@ def simulated_panels(spark, sf_dir):
 def variance_quantiles(spark, sf_dir):
     v = panel(spark, sf_dir).groupBy("col", F.expr("t div 26").alias("half")).agg(F.var_samp("value").alias("v"), F.count(F.lit(1)).alias("k")).where("k > 2")
     return v.groupBy("col").agg(*(F.percentile("v", F.lit(q)).alias(n) for q, n in ((0.1, "p10"), (0.5, "median"), (0.9, "p90"))))
+
+
+@query(_found["adaptive_intervals"][1])
+def adaptive_stream(spark, sf_dir):
+    """The same intervals by Structured Streaming, the rows arriving in three files."""
+    from augurline.streaming.online import adaptive_stream as stream
+    from augurline.streaming.run import completed
+
+    return completed(online(spark, sf_dir), lambda s: stream(s, **{k: v for k, v in RULES.items()}))
+
+
+@query(f"WITH {PANEL} SELECT t, CAST(col AS INTEGER) AS col, name, {r('value', 'value')} FROM p")
+def returns_csv(spark, sf_dir):
+    """The weekly panel written as CSV and read back by the strict reader."""
+    from augurline.sources.returns_csv import read_returns_csv
+    from augurline.streaming.run import scratch
+
+    p, folder = panel(spark, sf_dir), scratch(spark, "csv")
+    names = [row["name"] for row in p.select("name").distinct().orderBy("name").collect()]
+    wide = p.groupBy("t").pivot("name", names).agg(F.first("value")).coalesce(1).sortWithinPartitions("t").drop("t")
+    wide.write.option("header", True).csv(folder)
+    return read_returns_csv(spark, f"{folder}/*.csv").select("t", "col", "name", "value")
+
+
+@query("WITH " + BY_PRIORITY + f" SELECT series_id, t, {r('y', 'y')} FROM s")
+def tsf_series(spark, sf_dir):
+    """Daily series written as one TSF file and read back."""
+    from augurline.sources.tsf import observations, read_tsf
+    from augurline.streaming.run import scratch
+
+    s, folder = testdata.daily_revenue(spark, sf_dir, "o_orderpriority"), scratch(spark, "tsf")
+    lines = s.groupBy("series_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "y"))), lambda x: x["y"].cast("string")), ",").alias("v"))
+    head = "@relation revenue\n@attribute series_name string\n@frequency daily\n@missing false\n@equallength false\n@data\n"
+    text = lines.agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list(F.concat("series_id", F.lit(":"), "v"))), "\n")).alias("value"))
+    text.coalesce(1).write.text(folder)
+    return observations(read_tsf(spark, f"{folder}/*.txt"))
+
+
+@query()
+def paired_methods(spark, sf_dir):
+    return simulate.paired(simulate.study(spark, [{"n": 64, "k": 4, "phi": 0.6}], 40, n_resamples=99), "iid", "resampled")
+
+
+@query()
+def tail_statistics(spark, sf_dir):
+    return hac.tail_statistics(simulate.panels(spark, 30, 64, 2, seed=3, phi=0.5), 4, "finite_sample")
