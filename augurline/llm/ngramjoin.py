@@ -1,8 +1,8 @@
 """Exact Jaccard join of word shingles by token-combination prefixes.
 
-A document's tokens are its distinct 3-word shingles.  Tokens fall into classes by document frequency: unique ones, rare ones and
-frequent ones, and are ordered by class, then by fingerprint.  A linked pair misses at most E = n - ceil(0.9 n) of a document's n
-tokens, so it suffices to index a prefix of the order: E + 1 tokens where they are rare; where frequent ones are needed, the prefix
+A document's tokens are its distinct shingles.  Tokens fall into classes by document frequency: unique ones, rare ones and
+frequent ones, and are ordered by class, then by fingerprint.  A linked pair misses at most E = n - ceil(p n / 100) of a document's n
+tokens at p percent, so it suffices to index a prefix of the order: E + 1 tokens where they are rare; where frequent ones are needed, the prefix
 is extended and pairs of frequent tokens of the same group are indexed, as a + sum(max(0, f_g - 1)) > E for a rare tokens and f_g
 frequent ones of group g means that a rare token or a pair is shared.  Unique tokens need no entry.  Groups depend on the size
 level, and a document is entered in the two levels that documents of similar size can share.
@@ -13,6 +13,7 @@ size, where all pairs are compared at once by matrix products over the whole set
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +27,15 @@ from augurline.llm.cluster import shuffle_partitions, stored
 
 BITS = 48
 U64 = np.uint64
-LEVELS = [1]
-while LEVELS[-1] < 1 << 40:
-    LEVELS.append(max(LEVELS[-1] + 1, -(-LEVELS[-1] * 10 // 9)))
-LEVEL_BOUNDS = np.array(LEVELS, np.int64)
+
+
+@functools.cache
+def level_bounds(percent: int) -> np.ndarray:
+    """The least size of each level; sizes of a linked pair are in one level or in neighbours."""
+    levels = [1]
+    while levels[-1] < 1 << 40:
+        levels.append(max(levels[-1] + 1, -(-levels[-1] * 100 // percent)))
+    return np.array(levels, np.int64)
 
 
 def shingle_sets(column: pa.Array, size: int = 3) -> Iterator[np.ndarray]:
@@ -48,25 +54,30 @@ def node_of(tokens: np.ndarray) -> bytes:
         return b"".join(int(textops.mix(tokens * U64(m)).sum(dtype=U64) + U64(len(tokens))).to_bytes(8, "big", signed=False) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 
-def level_of(n: int) -> int:
-    return int(np.searchsorted(LEVEL_BOUNDS, n, "right"))
+def level_of(n: int, percent: int) -> int:
+    return int(np.searchsorted(level_bounds(percent), n, "right"))
+
+
+def errors_of(n: int, percent: int) -> int:
+    """The most tokens of a set of n that a linked set lacks."""
+    return n * (100 - percent) // 100
 
 
-def entries(tokens: np.ndarray, classes: np.ndarray) -> Iterator[int]:
+def entries(tokens: np.ndarray, classes: np.ndarray, percent: int = 90) -> Iterator[int]:
     """The index entries of a set for both its levels; classes: 0 unique, 1 rare, 2 frequent."""
     n = len(tokens)
-    errors = n // 10
+    errors = errors_of(n, percent)
     rare = tokens[classes == 1]
     n_unique = int((classes == 0).sum())
     singles = rare[: max(0, errors + 1 - n_unique)]
     enough = n_unique + len(rare) > errors
     frequent = tokens[classes == 2]
-    for level in (level_of(n), level_of(n) + 1):
+    for level in (level_of(n, percent), level_of(n, percent) + 1):
         salt = U64(level * 0x632BE59BD9B4E019 & (1 << 64) - 1)
         yield from textops.mix(singles + salt).tolist()
         if enough:
             continue
-        groups = max(1, LEVELS[max(0, level - 2)] // 20)
+        groups = max(1, int(level_bounds(percent)[max(0, level - 2)]) * (100 - percent) // 200)
         group = (textops.mix(frequent) % U64(groups)).astype(np.int64)
         seen: dict[int, list[int]] = {}
         got = n_unique + len(rare)
@@ -116,16 +127,17 @@ def link_forest(sets: list[np.ndarray], sides: list[int], percent: int) -> list[
     return out
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", percent: int = 90, rare: int = 32, chunk: int = 512) -> tuple[bl.Blocks, DataFrame]:
+def join(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90, rare: int = 32, chunk: int = 512) -> tuple[bl.Blocks, DataFrame]:
     """Blocks of all rows of docs, and for each row: block, pos, id, n_shingles, component_id, stays.
 
     component_id is the smallest id reachable by links; stays is true for one row of each component (smallest id, null last, then by
     place).  Rows without words have an empty set and are linked with nothing.  Null texts are empty; repeated rows are linked.
-    Fingerprints of 64 bits stand for shingles.  rare: the largest document frequency of a rare token.  percent is 90 by the
-    definition of the prefixes.
+    Fingerprints of 64 bits stand for shingles.  size: words of a shingle; percent: the least Jaccard similarity of a link; rare: the
+    largest document frequency of a rare token.
     """
-    if percent < 90:
-        raise ValueError("prefixes are made for 90 percent or more")
+    # at 50 or less, sets of one and two tokens may be linked without an entry in common
+    if size < 1 or not 50 < percent <= 100:
+        raise ValueError("shingles have a word or more, and links more than 50 percent")
     spark = docs.sparkSession
     blocks = bl.write(docs, "join", text)
     n_buckets = max(shuffle_partitions(spark), -(-blocks.total_bytes // (48 << 20)))
@@ -133,7 +145,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", percent
 
     def sets_of(block: int) -> tuple[pa.Table, list[np.ndarray], np.ndarray]:
         table = bl.load(folder, block).combine_chunks()
-        sets = list(shingle_sets(table.column(text)))
+        sets = list(shingle_sets(table.column(text), size))
         return table, sets, np.concatenate([np.zeros(0, U64), *sets]) >> U64(64 - BITS)
 
     def emit(block: int) -> Iterator[tuple[int, dict[str, bytes]]]:
@@ -168,8 +180,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", percent
             at += len(tokens)
             nodes.append(node_of(tokens) if len(tokens) else None)
             sizes.append(len(tokens))
-            if len(tokens) and (own == 0).sum() <= len(tokens) // 10:
-                made = set(entries(tokens, own))
+            if len(tokens) and (own == 0).sum() <= errors_of(len(tokens), percent):
+                made = set(entries(tokens, own, percent))
                 found += made
                 owners += [len(nodes) - 1] * len(made)
         kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
@@ -201,7 +213,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", percent
 
         def send() -> pa.RecordBatch:
             column = bl.load(folder, block).combine_chunks().column(text).take(pa.array([r["pos"] for r in held]))
-            sets = list(shingle_sets(column))
+            sets = list(shingle_sets(column, size))
             return pa.RecordBatch.from_arrays([pa.array([r["node"] for r in held], pa.binary()), pa.array([r["root"] for r in held], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "root", "n", "tokens"])
 
         for batch in batches:
@@ -222,7 +234,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", percent
 
     @F.pandas_udf("int")
     def level_udf(n):
-        return __import__("pandas").Series(np.searchsorted(LEVEL_BOUNDS, n.to_numpy(), "right").astype(np.int32))
+        return __import__("pandas").Series(np.searchsorted(level_bounds(percent), n.to_numpy(), "right").astype(np.int32))
 
     leveled = sets.withColumn("lvl", level_udf("n")).withColumn("level", F.explode(level)).drop("lvl")
     chunks = leveled.groupBy("root", "level").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("root", "level", F.expr(f"cast(ceil(m / {chunk}) as int)").alias("k"))

@@ -15,8 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of documents linked by shingle Jaccard of 0.9 or more."""
-    return ngramjoin.one_of_each(docs)
+    """One document of each group of documents linked by a Jaccard similarity of 0.8 or more of their 5-word shingles."""
+    return ngramjoin.one_of_each(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

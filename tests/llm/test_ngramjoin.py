@@ -109,3 +109,34 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 200 for i in range(200, 231)}, **{i: 1 for i in range(1, 60)}, 100: 99, 99: 99}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def brute_at(rows, size, percent):
+    sets = []
+    for _, text in rows:
+        words = (text or "").lower().split()
+        n = min(size, len(words))
+        sets.append({tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set())
+    name = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and name[i] != name[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                name = [name[j] if x == name[i] else x for x in name]
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[name[i]] = min(doc, least.get(name[i], doc))
+    return sorted((doc, len(sets[i]), least[name[i]]) for i, (doc, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize(("size", "percent", "rare", "chunk"), [(5, 80, 32, 512), (5, 80, 1, 7), (2, 60, 2, 9)])
+def test_join_at_other_sizes_and_percents(spark, size, percent, rare, chunk):
+    rows = corpus(size + rare)
+    _, found = ngramjoin.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=size, percent=percent, rare=rare, chunk=chunk)
+    assert sorted((r["id"], r["n_shingles"], r["component_id"]) for r in found.collect()) == brute_at(rows, size, percent)
+
+
+def test_join_refuses_what_prefixes_do_not_cover(spark):
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for options in ({"percent": 50}, {"percent": 101}, {"size": 0}):
+        with pytest.raises(ValueError):
+            ngramjoin.join(df, **options)

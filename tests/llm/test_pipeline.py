@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from augurline.llm import decontam, quality
-from tests.llm.test_ngramjoin import brute
+from tests.llm.test_ngramjoin import brute, brute_at
 from tests.llm.test_simple_ops import WORD, plain_features
 
 
@@ -69,3 +69,15 @@ def test_cutoffs_hold_on_labels(spark, corpus):
     folder = corpus[0]
     cutoffs = quality.calibrate(quality.features(spark.read.parquet(f"{folder}/documents.parquet")), spark.read.parquet(f"{folder}/labels.parquet"))
     assert cutoffs[("en", "symbols")] == 700 and all(stratum == "en" for stratum, _ in cutoffs)
+
+
+def test_near_duplicates_are_linked_by_five_words_at_80_percent(spark, corpus):
+    words = [f"n{i}" for i in range(80)]
+    # four changed neighbours: 0.857 of the 3-word and 0.810 of the 5-word shingles; four words apart: 0.583 of the latter
+    text = lambda changed: " ".join("new" + w if i in changed else w for i, w in enumerate(words))
+    rows = [(1, text(()), "en"), (2, text(range(30, 34)), "en"), (3, text((10, 30, 50, 70)), "en")]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), corpus[0])
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    docs = [d for d in corpus[1] if d[0] < 20_000]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), corpus[0])
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(doc for doc, _, component in brute_at([d[:2] for d in docs], 5, 80) if doc == component)
