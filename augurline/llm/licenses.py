@@ -22,10 +22,10 @@ SENTENCES = {
     "mit-grant": r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files .*",
     "mit-notice": r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "asis-software": r"the software is provided as is without warranty of any kind .*",
-    "asis-liability": r"in no event shall the (authors|author|copyright holders|copyright owner|regents) (or copyright holders |or contributors )?be liable for any .*",
+    "asis-liability": r"in no event shall the (authors|author|copyright holders|copyright holder|copyright owner|regents) (or copyright holders |or contributors )?be liable for any .*",
     "apache-2-named": r"(this \w+ is )?(released|licensed|distributed|available)( under)?( the terms of)? the apache licen[sc]e( version)? 2(\.0)?( the license)?",
     "apache-2-use": r"you may not use this (file|work) except in compliance with the license",
-    "apache-2-copy": r"you may obtain a copy of the license at .*",
+    "apache-2-copy": r"you may obtain a copy of the license at( .*)?",
     "apache-2-asis": r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis .*",
     "gpl-3-named": r"(this \w+ is )?(released|licensed|distributed|available)( under)?( the terms of)? the gnu general public licen[sc]e( version)? 3(\.0)?( only)?",
     "gpl-2-named": r"(this \w+ is )?(released|licensed|distributed|available)( under)?( the terms of)? the gnu general public licen[sc]e( version)? 2(\.0)?( only)?",
@@ -39,7 +39,7 @@ SENTENCES = {
     "bsd-source": r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": r"redistributions in binary form must reproduce the above copyright notice .*",
     "bsd-endorse": r"neither the name of .* may be used to endorse or promote products .*",
-    "isc-grant": r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted .*",
+    "isc-grant": r"permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted .*",
     "cc-by-nc-4-named": r"(this \w+ is )?(released|licensed|distributed|available)( under)?( the)? cc by nc 4\.0( licen[sc]e)?",
     "cc-by-sa-4-named": r"(this \w+ is )?(released|licensed|distributed|available)( under)?( the)? cc by sa 4\.0( licen[sc]e)?",
     "cc-by-4-named": r"(this \w+ is )?(released|licensed|distributed|available)( under)?( the)? cc by 4\.0( licen[sc]e)?",
@@ -53,9 +53,9 @@ RULES = [
     (("mit-grant", "mit-notice", "asis-software?", "asis-liability?"), "MIT"),
     (("mit-named",), "MIT"),
     (("apache-2-named", "apache-2-use?", "apache-2-copy?", "apache-2-asis?"), "Apache-2.0"),
-    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"), "BSD-3-Clause"),
-    (("bsd-grant", "bsd-source", "bsd-binary"), "BSD-2-Clause"),
-    (("isc-grant",), "ISC"),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "asis-liability?"), "BSD-3-Clause"),
+    (("bsd-grant", "bsd-source", "bsd-binary", "asis-liability?"), "BSD-2-Clause"),
+    (("isc-grant", "asis-liability?"), "ISC"),
     (("gpl-any-free", "gpl-3-later"), "GPL-3.0-or-later"),
     (("gpl-any-free", "gpl-2-later"), "GPL-2.0-or-later"),
     (("gpl-3-named",), "GPL-3.0-only"),
@@ -71,27 +71,74 @@ RULES = [
     (("all-rights",), "Proprietary"),
 ]
 SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([\w.+-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[\w.+-]+)*)")
-COMPILED = {name: re.compile(pattern) for name, pattern in SENTENCES.items()}
+#: Words of a sentence may be parted by joins of pieces, and a sentence ends where a piece does.
+COMPILED = {name: re.compile(f"(?:{pattern})(?![^\n])".replace(" ", "[ \n]"), re.DOTALL) for name, pattern in SENTENCES.items()}
+#: First words of the sentences above; of the others, a piece has cc0.
+FIRST = re.compile(r"(?:this|released|licensed|distributed|available|permission|the|in|you|unless|either|redistributions?|neither|copyright|all)\b|[^\n]*cc0")
 #: Every sentence above has one of these words, so other texts and sentences need no pattern.
 HINTS = re.compile(rb"licen[sc]|permi|warrant|redistribut|liable|copy|rights|public domain|endorse|agreed|as is|option|cc0|notice|spdx|free", re.IGNORECASE)
-CUT = re.compile(r"(?<=[.!?])[ \t\r\f\v]+(?=[A-Z0-9\"'(])|\n+")
+#: Places inside a line where a sentence ends or may go on.
+CUT = re.compile(r"(?<=[.!?])[ \t\r\f\v]+(?=[A-Z0-9\"'(])|(?<=;)[ \t\r\f\v]+")
+END = re.compile(r"[.!?][\"')\]]*$")
+ITEM = re.compile(r"\(?(?:\d{1,2}|[a-z]|[ivx]{2,4})[.)][ \t]+")
 MARKS = re.compile(r"^[\s/*#;%!>|-]+|[\s*/|-]+$")
 DROPPED = re.compile(r"[\"'`,;:()\[\]{}<>/_*#=|!?-]+")
 
 
-def sentences(text: str) -> list[str]:
-    """Normalised sentences: without comment marks and punctuation, in lower case, single spaces, no end mark."""
-    out = []
-    for part in CUT.split(text):
-        plain = " ".join(DROPPED.sub(" ", MARKS.sub("", part)).lower().split()).rstrip(".")
-        if plain:
-            out.append(plain)
-    return out
-
+def paragraphs(text: str) -> Iterator[list[tuple[str, bool]]]:
+    """Runs of lines without a blank one; a list item begins a new run.
 
-def identified(sentence: str) -> str | None:
-    """The first identifier whose pattern the whole sentence matches."""
-    return next((name for name, pattern in COMPILED.items() if pattern.fullmatch(sentence)), None)
+    Each has pieces of lines, and whether a sentence ends there.  Pieces are normalised: without comment marks and punctuation, in
+    lower case, single spaces, no end mark.
+    """
+    out: list[tuple[str, bool]] = []
+    for line in text.split("\n"):
+        line = MARKS.sub("", line)
+        item = ITEM.match(line)
+        found = []
+        for part in CUT.split(line[item.end() :] if item else line):
+            plain = " ".join(DROPPED.sub(" ", MARKS.sub("", part)).lower().split()).rstrip(".")
+            if plain:
+                found.append((plain, bool(END.search(part.rstrip()))))
+        if out and (item or not found):
+            yield out
+            out = []
+        out += found
+    if out:
+        yield out
+
+
+def identified(pieces: list[str]) -> list[tuple[str, str]]:
+    """(identifier, sentence) of the known sentences in pieces of which only the last ends a sentence for certain.
+
+    A known sentence is one piece or several in a row, as many as its pattern takes up to the next known sentence.  Of the patterns
+    that match at a piece, the first counts.
+    """
+    whole, found = "\n".join(pieces), []
+    at = limit = len(whole)
+    for piece in reversed(pieces):
+        at -= len(piece)
+        if FIRST.match(whole, at):
+            for name, pattern in COMPILED.items():
+                if m := pattern.match(whole, at, limit):
+                    found.append((name, m[0].replace("\n", " ")))
+                    limit = max(0, at - 1)
+                    break
+        at -= 1
+    return found[::-1]
+
+
+def known(text: str) -> Iterator[tuple[str, str]]:
+    """(identifier, sentence) of all known sentences of a text, in order."""
+    for pieces in paragraphs(text):
+        held: list[str] = []
+        for plain, ends in pieces:
+            held.append(plain)
+            if ends:
+                yield from identified(held)
+                held = []
+        if held:
+            yield from identified(held)
 
 
 def take(rule: tuple[str, ...], names: list[str], at: int) -> int:
@@ -124,20 +171,21 @@ def scan_text(text: str | None) -> tuple[int, list[str], list[str]]:
     data = (text or "").encode()
     if not HINTS.search(data):
         return 0, [], []
-    found = []
-    for line in data.decode().split("\n"):
-        if HINTS.search(line.encode()):
-            if m := SPDX.search(line):
-                found.append(("spdx", " ".join(m[1].split())))
-                line = line[: m.start()]
-            found += [(name, s) for s in sentences(line) if (name := identified(s))]
+    found, held = [], []
+    for line in (text or "").split("\n"):
+        m = SPDX.search(line)
+        held.append(line[: m.start()] if m else line)
+        if m:
+            found += [*known("\n".join(held)), ("spdx", " ".join(m[1].split()))]
+            held = []
+    found += known("\n".join(held))
     return len(found), [n for n, _ in found], list(dict.fromkeys(licenses(found)))
 
 
 def scan(df: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of df: id_col, n_sentences (known ones), sentence_ids, licenses; no shuffle.
 
-    Null and empty texts have none; whole texts are read, line by line, and sentences don't run over line ends.
+    Null and empty texts have none; whole texts are read, and sentences run over line ends up to a blank line, a list item or an SPDX line.
     """
     own = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
 

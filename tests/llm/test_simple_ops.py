@@ -176,3 +176,77 @@ def test_licenses(spark, odd):
     for name, pattern in licenses.SENTENCES.items():  # the hint words must not hide any sentence
         plain = re.sub(r"\(([^()|]*)\|[^()]*\)\??", r"\1", re.sub(r"\.\*", "any", pattern)).replace("\\", "").replace("?", "").replace("(", "").replace(")", "").replace("[sc]", "s")
         assert licenses.HINTS.search(plain.encode()), name
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ENDORSE = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+AS_IS = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY
+SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+
+
+@pytest.mark.parametrize(("text", "want"), [(MIT, "MIT"), (BSD + AS_IS, "BSD-2-Clause"), (BSD + ENDORSE + AS_IS, "BSD-3-Clause"), (ISC, "ISC"), (APACHE, "Apache-2.0")])
+def test_wrapped_license_texts(text, want):
+    one_line = "\n\n".join(" ".join(p.split()) for p in re.split(r"\n\n|\n(?=\d\.)", text))
+    for mark in ("", "# ", " * ", "// ", "-- "):
+        for form in (text, one_line, text.replace("\n", "\r\n")):
+            got = licenses.scan_text("\n".join(mark + line for line in form.split("\n")))
+            assert got[2] == [want], (mark, form, got)
+    assert licenses.scan_text(MIT)[1] == ["mit-grant", "mit-notice", "asis-software", "asis-liability"]
+
+
+def test_lines_without_end_marks_stay_apart():
+    text = "Some title\nLicensed under the GNU Lesser General Public License\nAll rights reserved\nReleased under the\nMIT License\nmore text"
+    assert licenses.scan_text(text)[1:] == (["lgpl-named", "all-rights", "mit-named"], ["LGPL", "Proprietary", "MIT"])
