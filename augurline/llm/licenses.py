@@ -29,9 +29,16 @@ SENTENCES = {
     "apache-2-asis": r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis .*",
     "gpl-3-named": r"(this \w+ is )?(released|licensed|distributed|available)( under)?( the terms of)? the gnu general public licen[sc]e( version)? 3(\.0)?( only)?",
     "gpl-2-named": r"(this \w+ is )?(released|licensed|distributed|available)( under)?( the terms of)? the gnu general public licen[sc]e( version)? 2(\.0)?( only)?",
-    "gpl-any-free": r"this (program|file|library) is free software you can redistribute it and or modify it under the terms of the gnu (lesser )?general public license as published by the free software foundation.*",
-    "gpl-3-later": r"either version 3 of the license or at your option any later version",
-    "gpl-2-later": r"either version 2 of the license or at your option any later version",
+    "gpl-3-free-later": r"this (program|file|library) is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation either version 3(\.0)?( of the license)? or at your option any later version",
+    "gpl-2-free-later": r"this (program|file|library) is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation either version 2(\.0)?( of the license)? or at your option any later version",
+    "lgpl-3-free-later": r"this (program|file|library) is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public licen[sc]e as published by the free software foundation either version 3(\.0)?( of the license)? or at your option any later version",
+    "lgpl-21-free-later": r"this (program|file|library) is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public licen[sc]e as published by the free software foundation either version 2\.1( of the license)? or at your option any later version",
+    "lgpl-2-free-later": r"this (program|file|library) is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public licen[sc]e as published by the free software foundation either version 2(\.0)?( of the license)? or at your option any later version",
+    "lgpl-any-free": r"this (program|file|library) is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public licen[sc]e as published by the free software foundation.*",
+    "gpl-any-free": r"this (program|file|library) is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation.*",
+    "gpl-3-later": r"either version 3(\.0)?( of the license)? or at your option any later version",
+    "gpl-2-later": r"either version 2(\.0)?( of the license)? or at your option any later version",
+    "lgpl-21-later": r"either version 2\.1( of the license)? or at your option any later version",
     "lgpl-named": r"(this \w+ is )?(released|licensed|distributed|available)( under)?( the terms of)? the gnu lesser general public licen[sc]e.*",
     "agpl-3-named": r"(this \w+ is )?(released|licensed|distributed|available)( under)?( the terms of)? the gnu affero general public licen[sc]e.*",
     "mpl-2-named": r"this source code form is subject to the terms of the mozilla public license v 2\.0",
@@ -56,8 +63,17 @@ RULES = [
     (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "asis-liability?"), "BSD-3-Clause"),
     (("bsd-grant", "bsd-source", "bsd-binary", "asis-liability?"), "BSD-2-Clause"),
     (("isc-grant", "asis-liability?"), "ISC"),
+    (("gpl-3-free-later",), "GPL-3.0-or-later"),
+    (("gpl-2-free-later",), "GPL-2.0-or-later"),
     (("gpl-any-free", "gpl-3-later"), "GPL-3.0-or-later"),
     (("gpl-any-free", "gpl-2-later"), "GPL-2.0-or-later"),
+    (("lgpl-3-free-later",), "LGPL-3.0-or-later"),
+    (("lgpl-21-free-later",), "LGPL-2.1-or-later"),
+    (("lgpl-2-free-later",), "LGPL-2.0-or-later"),
+    (("lgpl-any-free", "gpl-3-later"), "LGPL-3.0-or-later"),
+    (("lgpl-any-free", "lgpl-21-later"), "LGPL-2.1-or-later"),
+    (("lgpl-any-free", "gpl-2-later"), "LGPL-2.0-or-later"),
+    (("lgpl-any-free",), "LGPL"),
     (("gpl-3-named",), "GPL-3.0-only"),
     (("gpl-2-named",), "GPL-2.0-only"),
     (("lgpl-named",), "LGPL"),

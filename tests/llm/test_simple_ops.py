@@ -250,3 +250,31 @@ def test_wrapped_license_texts(text, want):
 def test_lines_without_end_marks_stay_apart():
     text = "Some title\nLicensed under the GNU Lesser General Public License\nAll rights reserved\nReleased under the\nMIT License\nmore text"
     assert licenses.scan_text(text)[1:] == (["lgpl-named", "all-rights", "mit-named"], ["LGPL", "Proprietary", "MIT"])
+
+
+FREE = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation{} either version {}{} or (at your option) any later version."
+GPL, LESSER, LIBRARY = "General Public License", "Lesser General Public License", "Library General Public License"
+
+
+@pytest.mark.parametrize(
+    ("words", "want"),
+    [
+        (("program", ":", GPL, ",", "3", " of the License,"), "GPL-3.0-or-later"),
+        (("program", ";", GPL, ";", "2", " of the License,"), "GPL-2.0-or-later"),
+        (("file", ";", GPL, ";", "2", ","), "GPL-2.0-or-later"),
+        (("library", ";", LESSER, ";", "2.1", " of the License,"), "LGPL-2.1-or-later"),
+        (("program", ":", LESSER, ",", "3", " of the License,"), "LGPL-3.0-or-later"),
+        (("library", ";", LIBRARY, ";", "2", " of the License,"), "LGPL-2.0-or-later"),
+    ],
+)
+def test_gnu_notices_in_one_line_and_wrapped(words, want):
+    import textwrap
+
+    text = FREE.format(*words)
+    rest = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY."
+    for width in (1000, 80, 72, 60, 40, 25):
+        for mark in ("", " * ", "# "):
+            form = "\n".join(mark + line for part in (text, "", rest) for line in textwrap.wrap(part, width) or [""])
+            assert licenses.scan_text(form)[2] == [want], (width, form, licenses.scan_text(form))
+    cut = text.replace(", either", ". Either").replace("; either", ". Either")  # as a sentence of its own
+    assert licenses.scan_text(cut)[2] == [want]
