@@ -86,9 +86,12 @@ RULES = [
     (("unlicense",), "Unlicense"),
     (("all-rights",), "Proprietary"),
 ]
-SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([\w.+-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[\w.+-]+)*)")
+_TERM = r"(?:\([ \t]*)*[\w.+:-]*[\w+](?:[ \t]*\))*"
+SPDX = re.compile(rf"SPDX-License-Identifier:[ \t]*({_TERM}(?:(?:[ \t]+|(?<=\)))(?:AND|OR|WITH)(?:[ \t]+|(?=\()){_TERM})*)")
 #: Words of a sentence may be parted by joins of pieces, and a sentence ends where a piece does.
 COMPILED = {name: re.compile(f"(?:{pattern})(?![^\n])".replace(" ", "[ \n]"), re.DOTALL) for name, pattern in SENTENCES.items()}
+#: Words after the open part of a pattern; without them it would be tried on all that follows, for each piece.
+LATER = {"bsd-endorse": "endorse", "all-rights": "reserved"}
 #: First words of the sentences above; of the others, a piece has cc0.
 FIRST = re.compile(r"(?:this|released|licensed|distributed|available|permission|the|in|you|unless|either|redistributions?|neither|copyright|all)\b|[^\n]*cc0")
 #: Every sentence above has one of these words, so other texts and sentences need no pattern.
@@ -132,13 +135,17 @@ def identified(pieces: list[str]) -> list[tuple[str, str]]:
     """
     whole, found = "\n".join(pieces), []
     at = limit = len(whole)
+    last = {name: whole.rfind(word) for name, word in LATER.items()}
     for piece in reversed(pieces):
         at -= len(piece)
         if FIRST.match(whole, at):
             for name, pattern in COMPILED.items():
+                if last.get(name, at) < at or name == "cc0-named" and "cc0" not in piece:
+                    continue
                 if m := pattern.match(whole, at, limit):
                     found.append((name, m[0].replace("\n", " ")))
                     limit = max(0, at - 1)
+                    last = {name: whole.rfind(word, 0, limit) for name, word in LATER.items()}
                     break
         at -= 1
     return found[::-1]
@@ -182,19 +189,30 @@ def licenses(found: list[tuple[str, str]]) -> list[str]:
     return out
 
 
+def expression(text: str) -> str:
+    """An SPDX expression with single spaces and balanced brackets: those closed in excess are of the text around it."""
+    out, depth = [], 0
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        if depth < 0:
+            break
+        out.append(c)
+    plain = " ".join("".join(out).split()).replace("( ", "(").replace(" )", ")")
+    while depth > 0 and plain.startswith("("):
+        plain, depth = plain[1:].lstrip(), depth - 1
+    return plain
+
+
 def scan_text(text: str | None) -> tuple[int, list[str], list[str]]:
     """(known sentences, their identifiers, distinct licenses in order of first occurrence)."""
     data = (text or "").encode()
     if not HINTS.search(data):
         return 0, [], []
-    found, held = [], []
-    for line in (text or "").split("\n"):
-        m = SPDX.search(line)
-        held.append(line[: m.start()] if m else line)
-        if m:
-            found += [*known("\n".join(held)), ("spdx", " ".join(m[1].split()))]
-            held = []
-    found += known("\n".join(held))
+    found, at, text = [], 0, text or ""
+    for m in SPDX.finditer(text):
+        found += [*known(text[at : m.start()]), ("spdx", expression(m[1]))]
+        at = m.start() + len(m[0].rstrip(") \t"))
+    found += known(text[at:])
     return len(found), [n for n, _ in found], list(dict.fromkeys(licenses(found)))
 
 

@@ -278,3 +278,19 @@ def test_gnu_notices_in_one_line_and_wrapped(words, want):
             assert licenses.scan_text(form)[2] == [want], (width, form, licenses.scan_text(form))
     cut = text.replace(", either", ". Either").replace("; either", ". Either")  # as a sentence of its own
     assert licenses.scan_text(cut)[2] == [want]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("/* SPDX-License-Identifier: MIT */ Licensed under the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]),
+        ("SPDX-License-Identifier: MIT. SPDX-License-Identifier: ISC Released under the MIT License. SPDX-License-Identifier: 0BSD", ["MIT", "ISC", "0BSD"]),
+        ("All rights reserved. SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0\nAll rights reserved.", ["Proprietary", "GPL-2.0+ WITH Classpath-exception-2.0"]),
+        ("# SPDX-License-Identifier: (MIT OR  Apache-2.0)", ["(MIT OR Apache-2.0)"]),
+        ("(SPDX-License-Identifier: MIT) All rights reserved.", ["MIT", "Proprietary"]),
+        ("SPDX-License-Identifier: ( MIT AND (ISC OR 0BSD) )OR CC0-1.0 -->", ["(MIT AND (ISC OR 0BSD))OR CC0-1.0"]),
+        ("<!-- SPDX-License-Identifier: MIT-->\nReleased under the\nApache License 2.0", ["MIT", "Apache-2.0"]),
+    ],
+)
+def test_all_spdx_marks_of_a_line_and_what_is_between(text, want):
+    assert licenses.scan_text(text)[2] == want
