@@ -176,3 +176,18 @@ def test_one_step_stream(spark):
     options = {"alpha": 0.25, "step": 0.125, "scale": 2.0}
     got = run_stream(spark, df, lambda s: online.adaptive_stream(s, **options))
     assert sorted(map(tuple, got)) == sorted(map(tuple, conformal.adaptive_intervals(df, **options).collect()))
+
+
+def test_multistep_queries_take_every_origin(spark, sf):
+    from augurline.plans import catalog
+
+    sizes = {r["event_type"]: r["count"] for r in spark.read.parquet(f"{sf}/events.parquet").groupBy("event_type").count().collect()}
+    issued = {(r["series_id"], r["lead_time"]): r["issued"] for r in catalog.queries()["multistep_summary"](spark, sf).collect()}
+    assert issued == {(s, lead): n for s, n in sizes.items() for lead in (1, 2, 6)}
+
+
+def test_multistep_takes_sparse_origins(spark):
+    series = spark.createDataFrame([("s", t, float(y)) for t, y in enumerate(ACTUAL)], "series_id string, t long, y double")
+    points = spark.createDataFrame([("s", t, lead, float(p)) for t, p in enumerate(POINTS) if t % 2 == 0 for lead in (1, 2)], "series_id string, origin long, lead_time long, predicted double")
+    got = conformal.multistep_intervals(series, points, (1, 2), {"alpha": 0.25, "step": 0.125, "scales": 2.0}).collect()
+    assert sorted((r["origin"], r["lead_time"]) for r in got) == [(t, lead) for t in range(0, len(POINTS), 2) for lead in (1, 2)]
