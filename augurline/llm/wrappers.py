@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -41,6 +42,7 @@ FURNITURE = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+DEEPEST = 400
 BLANK = " \t\n\r\f\v"
 
 
@@ -65,12 +67,17 @@ def element(tag: str, raw: str) -> Node:
 def tree(html: str) -> Node:
     """The balanced stream of a page as a tree; end tags that are missing or stray are put right, texts are decoded.
 
-    Never raises: broken tags are texts or end with the page.
+    Never raises: broken tags are texts or end with the page.  Elements deeper than DEEPEST are read flat, into the last node above
+    them, or into their own if they are noise; a #deep node is where such a block begins or ends.
     """
     root = Node("#root")
     stack, tags, at = [root], ["#root"], 0
+    is_open: Counter[str] = Counter()
 
     def close(depth: int) -> None:
+        is_open.subtract(tags[depth:])
+        if any(t not in INLINE for t in tags[max(depth, DEEPEST) :]):
+            stack[max(depth, DEEPEST) - 1].children.append(Node("#deep"))
         del stack[depth:], tags[depth:]
 
     while at < len(html):
@@ -87,32 +94,41 @@ def tree(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in tags[1:]:
-                depth = len(tags) - 1 - tags[::-1].index(tag)
-                if tag not in INLINE or not any(t in CLOSED_BY_BLOCK or t in ("td", "th", "li", "body") for t in tags[depth + 1 :]):
-                    close(depth)
+            if is_open[tag]:
+                for depth in range(len(tags) - 1, 0, -1):
+                    if tags[depth] == tag:
+                        close(depth)
+                        break
+                    if tag in INLINE and (tags[depth] in CLOSED_BY_BLOCK or tags[depth] in ("td", "th", "li", "body")):
+                        break
             elif tag == "p":
                 stack[-1].children.append(Node("p"))
             continue
-        if tag in CLOSED_BY_BLOCK and "p" in tags:
-            depth = len(tags) - 1 - tags[::-1].index("p")
-            if not any(t in ("table", "td", "th", "li", "div", "article", "section", "button") for t in tags[depth + 1 :]):
-                close(depth)
+        if tag in CLOSED_BY_BLOCK and is_open["p"]:
+            for depth in range(len(tags) - 1, 0, -1):
+                if tags[depth] == "p":
+                    close(depth)
+                    break
+                if tags[depth] in ("table", "td", "th", "li", "div", "article", "section", "button"):
+                    break
         if tag in CLOSES:
             ended, limits = CLOSES[tag]
             ended = ended.split()
-            for depth in range(len(tags) - 1, 0, -1):
+            for depth in range(len(tags) - 1, 0, -1) if any(is_open[t] for t in ended) else ():
                 if tags[depth] in limits:
                     break
                 if tags[depth] in ended:
                     close(depth)
-        if tag == "body":
+        if tag == "body" and is_open["head"]:
             for depth in range(1, len(tags)):
                 if tags[depth] == "head":
                     close(depth)
                     break
         node = element(tag, m[3] or "")
-        stack[-1].children.append(node)
+        if len(stack) < DEEPEST or node.noise or tag in VOID or tag in RAW:
+            stack[-1].children.append(node)
+        elif tag not in INLINE:
+            stack[-1].children.append(Node("#deep"))
         if tag in VOID or (m[3] or "").endswith("/") and tag in RAW:
             continue
         if tag in RAW:
@@ -122,9 +138,10 @@ def tree(html: str) -> Node:
             if tag in ("title", "textarea"):
                 node.children.append(entities.unescape(body))
             continue
-        if len(stack) < 400:  # deeper elements are read flat
-            stack.append(node)
-            tags.append(tag)
+        flat = len(stack) >= DEEPEST and (stack[-1] is not stack[DEEPEST - 1] or not node.noise)
+        stack.append(stack[-1] if flat else node)
+        tags.append(tag)
+        is_open[tag] += 1
     return root
 
 

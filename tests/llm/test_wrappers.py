@@ -50,3 +50,14 @@ def test_wrappers_have_repeats_optionals_and_slots():
     whole = w.union(w.shape(w.tree(page)), w.shape(w.tree(other)))
     assert w.pattern(whole) == "(<#root> (<ul> (<li> #TEXT </li>)+ </ul>) (<h1> t </h1>)? (<p> same </p>) </#root>)"
     assert w.pattern(w.union(w.shape(w.tree(other)), w.shape(w.tree(page)))) == w.pattern(whole)
+
+
+def test_deep_elements_close_themselves_only():
+    deep = lambda n, inner: f"<html><body><div id=page><article><p>head</p>{'<div>' * n}{inner}{'</div>' * n}<p>tail</p></article></div><p>outside</p></body></html>"
+    for n in (3, 390, 395, 396, 397, 400, 500, 3000):
+        page = deep(n, "text")
+        assert w.extract(page, w.single(w.tree(page))) == "head\n\ntext\n\ntail", n
+        page = deep(n, "<p>one<b> bold</b> end<nav>menu <div>x</div></nav><aside>also</aside><form><p>mail</p></form><p>two<ul><li>a<li>b</ul>last")
+        assert w.extract(page, w.single(w.tree(page))) == "head\n\none bold end\n\ntwo\n\na\n\nb\n\nlast\n\ntail", n
+    page = f"<body>{'<div>' * 500}<article><p>deep article</p></article>{'</div>' * 500}<footer>f</footer></body>"
+    assert w.extract(page, w.single(w.tree(page))) == "deep article"
