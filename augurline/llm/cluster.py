@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -87,3 +88,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def joined(rows: DataFrame, keyed: DataFrame, key: str, total: int, share: int = 2000) -> DataFrame:
+    """Each of rows with the columns of its key in keyed; rows without one go.
+
+    keyed has a row for each key, and n: how many of the `total` rows have that key.  Keys with more than total / share rows, which are
+    fewer than share, are broadcast; the other rows are shuffled, and no task gets more than total / share of them for one key.
+    """
+    hot = keyed.where(F.col("n") * share > total)
+    cold = keyed.where(F.col("n") * share <= total)
+    often = rows.join(F.broadcast(hot.drop("n")), key)
+    seldom = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.drop("n"), key)
+    return often.unionByName(seldom)

@@ -7,8 +7,11 @@ is extended and pairs of frequent tokens of the same group are indexed, as a + s
 frequent ones of group g means that a rare token or a pair is shared.  Unique tokens need no entry.  Groups depend on the size
 level, and a document is entered in the two levels that documents of similar size can share.
 
-Documents with equal sets are one node.  Nodes that share an entry are candidates; connected candidates meet in chunks of bounded
-size, where all pairs are compared at once by matrix products over the whole sets; only a spanning forest of the links goes on.
+Documents with equal sets are one node.  The nodes of an entry are candidates of each other.  Entries with the same smallest node,
+their hub, form a star, so that the many entries of a group of near copies are one star or a few, and a pair that shares an entry meets
+in one.  A star's whole sets are verified in chunks of bounded size: all pairs of a chunk, to which the hub comes as well.  Where a
+star has several chunks, only strays, the nodes that their chunk doesn't connect with the hub, are compared with the other chunks;
+the others are in the hub's component already.  Only a spanning forest of the links goes on.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from augurline.llm import blocks as bl
 from augurline.llm import graph, textops
-from augurline.llm.cluster import shuffle_partitions, stored
+from augurline.llm.cluster import joined, shuffle_partitions, stored
 
 BITS = 48
 U64 = np.uint64
@@ -93,8 +96,17 @@ def entries(tokens: np.ndarray, classes: np.ndarray, percent: int = 90) -> Itera
             yield from textops.mix(textops.mix(both[:, 0] + salt) + both[:, 1]).tolist()
 
 
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    common = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def link_forest(sets: list[np.ndarray], sides: list[int], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between sets of different sides (or of all, with one side)."""
+    if len(sets) == 2:
+        return [(0, 1)] if alike(sets[0], sets[1], percent) else []
     size = np.array([len(s) for s in sets], np.float64)
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
@@ -102,45 +114,96 @@ def link_forest(sets: list[np.ndarray], sides: list[int], percent: int) -> list[
     order = np.argsort(token[keep := np.flatnonzero(shared[token])], kind="stable")
     column = (np.cumsum(shared) - 1)[token[keep][order]]
     owner = owner[keep][order]
-    common, width = np.zeros((len(sets), len(sets))), 2048
+    common, width = np.zeros((len(sets), len(sets)), np.float32), 2048
     starts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + width + 1, width))
     for k, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
-        x = np.zeros((len(sets), width), np.float32)
+        x = np.zeros((len(sets), min(width, int(column[-1]) + 1 - k * width)), np.float32)
         x[owner[a:b], column[a:b] - k * width] = 1
         common += x @ x.T
-    linked = np.triu(100 * common >= percent * (size[:, None] + size[None, :] - common), 1)
+    linked = np.triu((100 + percent) * common.astype(np.float64) >= percent * (size[:, None] + size[None, :]), 1)
     if len(set(sides)) > 1:
         side = np.array(sides)
         linked &= side[:, None] != side[None, :]
     parent, out = list(range(len(sets))), []
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
     for i, j in zip(*np.nonzero(linked), strict=True):
-        a, b = find(int(i)), find(int(j))
+        a, b = root(parent, int(i)), root(parent, int(j))
         if a != b:
             parent[b] = a
             out.append((int(i), int(j)))
     return out
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90, rare: int = 32, chunk: int = 512) -> tuple[bl.Blocks, DataFrame]:
+def root(parent: list[int], i: int) -> int:
+    while parent[i] != i:
+        parent[i] = i = parent[parent[i]]
+    return i
+
+
+def verified(dealt: DataFrame, percent: int, n_tasks: int) -> DataFrame:
+    """(a, b) links and (a, hub) strays of the chunks of dealt: hub, i, j, whole, side, node, tokens.
+
+    A chunk is what hub, i and j name; its sets of different sides are compared, or all of them if there is one side.  Unless whole
+    is true, the nodes that aren't connected with the hub are strays.
+    """
+    kinds = ("hub", "i", "j", "whole", "side", "node", "tokens")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, found = None, {}, []
+
+        def settle() -> None:
+            nodes, sets, sides = [n for n, _ in held], list(held.values()), [s for _, s in held]
+            links = link_forest(sets, sides, percent) if len(held) > 1 else []
+            found.extend((nodes[a], nodes[b], None) for a, b in links)
+            if not key[3]:
+                parent = list(range(len(nodes)))
+                for a, b in links:
+                    parent[root(parent, b)] = root(parent, a)
+                hub = root(parent, nodes.index(key[0]))
+                found.extend((n, None, key[0]) for k, n in enumerate(nodes) if root(parent, k) != hub)
+
+        def send() -> pa.RecordBatch:
+            columns = list(zip(*found, strict=True)) or [()] * 3
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["a", "b", "hub"])
+
+        for batch in batches:
+            *names, tokens = (batch.column(c) for c in kinds)
+            for k, (hub, i, j, whole, side, node) in enumerate(zip(*(c.to_pylist() for c in names), strict=True)):
+                if key != (now := (hub, i, j, whole)):
+                    if held:
+                        settle()
+                    if len(found) > 10_000:
+                        yield send()
+                    key, held = now, {}
+                held[node, side] = np.frombuffer(tokens[k].as_buffer(), U64).copy()
+        if held:
+            settle()
+        yield send()
+
+    dealt = dealt.select(*kinds).repartition(n_tasks, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    return dealt.mapInArrow(textops.trimmed(task), "a binary, b binary, hub binary")
+
+
+def join(
+    docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90, rare: int = 32, chunk_bytes: int = 8 << 20, chunk: int = 1024, block_bytes: int = 12 << 20, bucket_bytes: int = 48 << 20
+) -> tuple[bl.Blocks, DataFrame]:
     """Blocks of all rows of docs, and for each row: block, pos, id, n_shingles, component_id, stays.
 
     component_id is the smallest id reachable by links; stays is true for one row of each component (smallest id, null last, then by
-    place).  Rows without words have an empty set and are linked with nothing.  Null texts are empty; repeated rows are linked.
-    Fingerprints of 64 bits stand for shingles.  size: words of a shingle; percent: the least Jaccard similarity of a link; rare: the
-    largest document frequency of a rare token.
+    place).  Rows without words have an empty set and are linked with nothing.  Null texts are empty; repeated rows are linked; ids are
+    of any type with an order; other columns play no part, whatever their names; an empty table gives no rows; a very long text is a
+    set like others, and a chunk holds one set at least.  Fingerprints of 64 bits stand for shingles.
+
+    size: words of a shingle; percent: the least Jaccard similarity of a link; rare: the largest document frequency of a rare token;
+    chunk_bytes, chunk: bytes and sets that a chunk holds on average; block_bytes, bucket_bytes: see blocks.py, larger ones suit larger executors.
     """
     # at 50 or less, sets of one and two tokens may be linked without an entry in common
     if size < 1 or not 50 < percent <= 100:
         raise ValueError("shingles have a word or more, and links more than 50 percent")
     spark = docs.sparkSession
-    blocks = bl.write(docs, "join", text)
-    n_buckets = max(shuffle_partitions(spark), -(-blocks.total_bytes // (48 << 20)))
+    blocks = bl.write(docs, "join", text, block_bytes)
+    n_buckets = max(shuffle_partitions(spark), -(-blocks.total_bytes // bucket_bytes))
+    n_tasks = max(shuffle_partitions(spark), blocks.count)
     folder = blocks.folder
 
     def sets_of(block: int) -> tuple[pa.Table, list[np.ndarray], np.ndarray]:
@@ -166,14 +229,14 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: i
             yield block, {"classes": bl.pack(answer[at : at + len(own)])}
             at += len(own)
 
-    fields = "kind int, block long, pos int, id long, n long, node binary, entry long"
+    fields = f"kind int, block long, pos int, id {dict(docs.dtypes)[id_col]}, n long, node binary, entry long"
 
     def index(block: int, rows: list[bl.Row]) -> Iterator[pa.RecordBatch]:
         table, sets, keys = sets_of(block)
         distinct = np.unique(keys)
         classes = np.concatenate([bl.unpack(r["classes"]) for _, _, r in rows])
         of = classes[np.searchsorted(distinct, keys)] if len(keys) else classes
-        ids = table.column(id_col).cast(pa.int64()).to_pylist()
+        ids = table.column(id_col).combine_chunks()
         nodes, sizes, found, owners, at = [], [], [], [], 0
         for tokens in sets:
             own = of[at : at + len(tokens)]
@@ -184,10 +247,10 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: i
                 made = set(entries(tokens, own, percent))
                 found += made
                 owners += [len(nodes) - 1] * len(made)
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+        kinds = (pa.int32(), pa.int64(), pa.int32(), ids.type, pa.int64(), pa.binary(), pa.int64())
         names = ["kind", "block", "pos", "id", "n", "node", "entry"]
         n, m = len(nodes), len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([0] * n, [block] * n, range(n), ids, sizes, nodes, [None] * n), kinds, strict=True)], names)
+        yield pa.RecordBatch.from_arrays([ids if c is ids else pa.array(c, k) for c, k in zip(([0] * n, [block] * n, range(n), ids, sizes, nodes, [None] * n), kinds, strict=True)], names)
         signed = np.array(found, U64).view(np.int64)
         for i in range(0, m, 100_000):
             o = owners[i : i + 100_000]
@@ -198,67 +261,69 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: i
     indexed = stored(bl.returned(answers, blocks, index, fields), "join-index")
     rows = indexed.where("kind = 0").select("block", "pos", "id", "n", "node")
 
-    # Candidates: each node of an entry with the smallest node of that entry.
-    entry = indexed.where("kind = 1").select("entry", "node").distinct()
-    hubs = entry.groupBy("entry").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("entry", "hub")
-    near = entry.join(hubs, "entry").select(F.col("node").alias("a"), F.col("hub").alias("b")).where("a <> b")
-    groups = stored(graph.components(near), "join-groups")
-
-    # One copy of each candidate's set, by its first place.
-    place = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("block", "pos")).alias("at"), F.max("n").alias("n"))
-    wanted = groups.join(place, "node").select("node", "root", F.col("at.block").alias("block"), F.col("at.pos").alias("pos"))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = None, []
-
-        def send() -> pa.RecordBatch:
-            column = bl.load(folder, block).combine_chunks().column(text).take(pa.array([r["pos"] for r in held]))
-            sets = list(shingle_sets(column, size))
-            return pa.RecordBatch.from_arrays([pa.array([r["node"] for r in held], pa.binary()), pa.array([r["root"] for r in held], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "root", "n", "tokens"])
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["block"] != block or len(held) >= 2000:
-                    if held:
-                        yield send()
-                    block, held = row["block"], []
-                held.append(row)
-        if held:
-            yield send()
-
-    sets = wanted.repartition(max(1, blocks.count), "block").sortWithinPartitions("block", "pos").mapInArrow(textops.trimmed(fetch), "node binary, root binary, n long, tokens binary")
-    sets = stored(sets, "join-sets")
-
-    # Linked sets share a level; the chunks of each group and level meet in pairs.
-    level = F.array(*(F.expr(f"{e}") for e in ("lvl", "lvl + 1")))
-
-    @F.pandas_udf("int")
-    def level_udf(n):
-        return __import__("pandas").Series(np.searchsorted(level_bounds(percent), n.to_numpy(), "right").astype(np.int32))
-
-    leveled = sets.withColumn("lvl", level_udf("n")).withColumn("level", F.explode(level)).drop("lvl")
-    chunks = leveled.groupBy("root", "level").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("root", "level", F.expr(f"cast(ceil(m / {chunk}) as int)").alias("k"))
-    dealt = leveled.join(chunks, ["root", "level"]).withColumn("own", F.expr("cast(pmod(xxhash64(node), k) as int)"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
-    dealt = dealt.select("root", "level", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "tokens")
-
-    def compare(table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_pylist()
-        tokens = [np.frombuffer(t, U64) for t in table.column("tokens").to_pylist()]
-        found = link_forest(tokens, table.column("own").to_pylist(), percent) if len(nodes) > 1 else []
-        return pa.table([pa.array([nodes[i] for i, _ in found], pa.binary()), pa.array([nodes[j] for _, j in found], pa.binary())], ["a", "b"])
-
-    # Dealt by all four keys: the chunks of a hot group would else meet in one task, as the joins before leave them there.
-    dealt = dealt.repartition(max(shuffle_partitions(spark), blocks.count), "root", "level", "i", "j")
-    links = dealt.groupBy("root", "level", "i", "j").applyInArrow(compare, "a binary, b binary")
-    linked = graph.components(links)
+    # Candidates: each node of an entry with the hub of that entry, its smallest node.
+    entry = indexed.where("kind = 1").select("entry", "node", "n").distinct()
+    entry = stored(entry, "join-entries")
+    hubs = entry.groupBy("entry").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = stored(joined(entry.withColumnRenamed("n", "size"), hubs, "entry", entry.count()).select("hub", "node", "size").distinct(), "join-stars")
+    place = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("block", "pos")).alias("at"))
+
+    def chunks(members: DataFrame, name: str) -> DataFrame:
+        """hub, n (members), and the number of chunks that they need."""
+        return members.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.expr(f"cast(greatest(ceil(8 * sum(size) / {chunk_bytes}), ceil(count(*) / {chunk})) as int)").alias(name))
+
+    def with_sets(dealt: DataFrame) -> DataFrame:
+        """hub, i, j, whole, side, node with the node's tokens, read from the first place of its set."""
+        schema = "hub binary, i int, j int, whole boolean, side int, node binary, tokens binary"
+
+        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block, column, pos, tokens = None, None, None, b""
+            for batch in batches:
+                own, held, first = [], 0, 0
+                for k, (b, p) in enumerate(zip(batch.column("block").to_pylist(), batch.column("pos").to_pylist(), strict=True)):
+                    if b != block:
+                        block, column, pos = b, bl.load(folder, b).column(text).combine_chunks(), None
+                    if p != pos:
+                        pos, tokens = p, next(shingle_sets(column.slice(p, 1), size)).tobytes()
+                    own.append(tokens)
+                    held += len(tokens)
+                    if held > chunk_bytes or k == batch.num_rows - 1:
+                        part = batch.select(["hub", "i", "j", "whole", "side", "node"]).slice(first, len(own))
+                        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own, pa.binary())], [*part.schema.names, "tokens"])
+                        own, held, first = [], 0, k + 1
+
+        located = dealt.join(place, "node").select("hub", "i", "j", "whole", "side", "node", "at.block", "at.pos")
+        return located.repartition(n_tasks, "block").sortWithinPartitions("block", "pos").mapInArrow(textops.trimmed(fetch), schema)
+
+    # Every chunk of a star has the hub.
+    n_stars = stars.count()
+    starred = joined(stars, chunks(stars, "k"), "hub", n_stars)
+    own_chunk = F.expr("if(node = hub, sequence(0, k - 1), array(cast(pmod(xxhash64(node), k) as int)))")
+    dealt = starred.select("hub", F.explode(own_chunk).alias("i"), F.lit(0).alias("j"), F.expr("k = 1").alias("whole"), F.lit(0).alias("side"), "node")
+    found = stored(verified(with_sets(dealt), percent, n_tasks), "join-links")
+
+    # Strays are compared with all nodes of their star.
+    strays = stored(found.where("hub is not null").select("hub", F.col("a").alias("node")).join(stars, ["hub", "node"]), "join-strays")
+    n_strays = strays.count()
+    links = found.where("hub is null").select("a", "b")
+    if n_strays:
+        k_strays = chunks(strays, "s").drop("n")
+        counted = chunks(stars, "k").join(k_strays, "hub")
+        members = joined(stars, counted, "hub", n_stars)
+        left = members.join(strays.select("hub", "node"), ["hub", "node"], "left_semi").select("hub", "node", F.expr("cast(pmod(xxhash64(node), s) as int)").alias("i"), F.explode(F.expr("sequence(0, k - 1)")).alias("j"), F.lit(0).alias("side"))
+        right = members.select("hub", "node", F.explode(F.expr("sequence(0, s - 1)")).alias("i"), F.expr("cast(pmod(xxhash64(node), k) as int)").alias("j"), F.lit(1).alias("side"))
+        more = left.unionByName(right).withColumn("whole", F.lit(True))
+        links = links.unionByName(stored(verified(with_sets(more), percent, n_tasks), "join-links").select("a", "b"))
+    linked = stored(graph.components(links), "join-components")
 
     # The smallest id and place of each node, then of each component; rows without a node stand alone.
     head = F.struct(F.col("id").isNull().alias("none"), "id", "block", "pos")
     heads = rows.where("node is not null").groupBy("node").agg(F.min(head).alias("head"), F.count(F.lit(1)).alias("copies"))
     rooted = heads.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    tops = rooted.groupBy("root").agg(F.min("head").alias("top"), F.sum("copies").alias("copies")).where("copies > 1")
-    named = rooted.join(tops.select("root", "top"), "root").select("node", "top")
+    rooted = stored(rooted, "join-rooted")
+    n_nodes = rooted.count()
+    tops = rooted.groupBy("root").agg(F.min("head").alias("top"), F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 1").drop("copies")
+    named = joined(rooted.select("node", "root"), tops, "root", n_nodes).select("node", "top")
     out = rows.join(named, "node", "left").select(
         "block", "pos", "id", F.col("n").alias("n_shingles"), F.when(F.col("top").isNull(), F.col("id")).otherwise(F.col("top.id")).alias("component_id"), (F.col("top").isNull() | ((F.col("top.block") == F.col("block")) & (F.col("top.pos") == F.col("pos")))).alias("stays")
     )

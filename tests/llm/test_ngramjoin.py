@@ -140,3 +140,38 @@ def test_join_refuses_what_prefixes_do_not_cover(spark):
     for options in ({"percent": 50}, {"percent": 101}, {"size": 0}):
         with pytest.raises(ValueError):
             ngramjoin.join(df, **options)
+
+
+def test_recomposed_texts_meet_in_small_stars(spark, monkeypatch):
+    """Texts of sentences that many share are one candidate component; the work must follow the candidate pairs instead."""
+    rng = random.Random(8)
+    sentences = [" ".join(f"w{rng.randrange(5000)}" for _ in range(30)) for _ in range(600)]
+    rows = [(i, " ".join(rng.sample(sentences, 12))) for i in range(600)]
+    kept = {}
+    plain = ngramjoin.stored
+    monkeypatch.setattr(ngramjoin, "stored", lambda df, name: kept.setdefault(name, plain(df, name)))
+    _, found = ngramjoin.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(r["component_id"] == r["id"] for r in found.collect())
+    largest = kept["join-stars"].groupBy("hub").count().selectExpr("max(count)").first()[0]
+    assert largest < 200  # a text shares sentences with some 140 others
+    near = graph.components(kept["join-stars"].selectExpr("hub as a", "node as b"))
+    assert near.select("root").distinct().count() < 20  # what all pairs of a candidate component would have met
+
+
+def test_very_long_texts_and_ids_of_any_type(spark):
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(150_000)]
+    other = [w if rng.random() > 0.01 else "x" for w in long]
+    rows = [("b", " ".join(long)), ("a", " ".join(other)), ("c", "unlike them all"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r["id"]: r["component_id"] for r in ngramjoin.join(df, chunk_bytes=1 << 20)[1].collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", None: None}
+
+
+def test_hubs_of_any_share_are_joined(spark):
+    from augurline.llm import cluster
+
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(9000)], "k long, v long")
+    keyed = rows.groupBy("k").count().selectExpr("k", "count as n", "k * 2 as w").where("k <> 3")
+    got = sorted(tuple(r) for r in cluster.joined(rows, keyed, "k", 9000).collect())
+    assert got == sorted((k, v, 2 * k) for k, v in ((r["k"], r["v"]) for r in rows.collect()) if k != 3)
