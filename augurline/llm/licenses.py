@@ -16,53 +16,92 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from augurline.llm import textops
 
-#: Sentences of public licenses, normalised, as patterns that a whole sentence must match.
-SENTENCES = {
-    "mit-named": r"(this \w+ is )?(released|licensed|distributed|available)( under)?( the terms of)? the mit licen[sc]e",
-    "mit-grant": r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files .*",
-    "mit-notice": r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "asis-software": r"the software is provided as is without warranty of any kind .*",
-    "asis-liability": r"in no event shall the (authors|author|copyright holders|copyright holder|copyright owner|regents) (or copyright holders |or contributors )?be liable for any .*",
-    "apache-2-named": r"(this \w+ is )?(released|licensed|distributed|available)( under)?( the terms of)? the apache licen[sc]e( version)? 2(\.0)?( the license)?",
-    "apache-2-use": r"you may not use this (file|work) except in compliance with the license",
-    "apache-2-copy": r"you may obtain a copy of the license at( .*)?",
-    "apache-2-asis": r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis .*",
-    "gpl-3-named": r"(this \w+ is )?(released|licensed|distributed|available)( under)?( the terms of)? the gnu general public licen[sc]e( version)? 3(\.0)?( only)?",
-    "gpl-2-named": r"(this \w+ is )?(released|licensed|distributed|available)( under)?( the terms of)? the gnu general public licen[sc]e( version)? 2(\.0)?( only)?",
-    "gpl-3-free-later": r"this (program|file|library) is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation either version 3(\.0)?( of the license)? or at your option any later version",
-    "gpl-2-free-later": r"this (program|file|library) is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation either version 2(\.0)?( of the license)? or at your option any later version",
-    "lgpl-3-free-later": r"this (program|file|library) is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public licen[sc]e as published by the free software foundation either version 3(\.0)?( of the license)? or at your option any later version",
-    "lgpl-21-free-later": r"this (program|file|library) is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public licen[sc]e as published by the free software foundation either version 2\.1( of the license)? or at your option any later version",
-    "lgpl-2-free-later": r"this (program|file|library) is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public licen[sc]e as published by the free software foundation either version 2(\.0)?( of the license)? or at your option any later version",
-    "lgpl-any-free": r"this (program|file|library) is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public licen[sc]e as published by the free software foundation.*",
-    "gpl-any-free": r"this (program|file|library) is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation.*",
-    "gpl-3-later": r"either version 3(\.0)?( of the license)? or at your option any later version",
-    "gpl-2-later": r"either version 2(\.0)?( of the license)? or at your option any later version",
-    "lgpl-21-later": r"either version 2\.1( of the license)? or at your option any later version",
-    "lgpl-named": r"(this \w+ is )?(released|licensed|distributed|available)( under)?( the terms of)? the gnu lesser general public licen[sc]e.*",
-    "agpl-3-named": r"(this \w+ is )?(released|licensed|distributed|available)( under)?( the terms of)? the gnu affero general public licen[sc]e.*",
-    "mpl-2-named": r"this source code form is subject to the terms of the mozilla public license v 2\.0",
-    "bsd-grant": r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd-source": r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "bsd-binary": r"redistributions in binary form must reproduce the above copyright notice .*",
-    "bsd-endorse": r"neither the name of .* may be used to endorse or promote products .*",
-    "isc-grant": r"permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted .*",
-    "cc-by-nc-4-named": r"(this \w+ is )?(released|licensed|distributed|available)( under)?( the)? cc by nc 4\.0( licen[sc]e)?",
-    "cc-by-sa-4-named": r"(this \w+ is )?(released|licensed|distributed|available)( under)?( the)? cc by sa 4\.0( licen[sc]e)?",
-    "cc-by-4-named": r"(this \w+ is )?(released|licensed|distributed|available)( under)?( the)? cc by 4\.0( licen[sc]e)?",
-    "cc0-named": r".*\bcc0 1\.0 universal.*",
-    "unlicense": r"this is free and unencumbered software released into the public domain",
-    "all-rights": r"(copyright .*)?all rights reserved",
+#: Names of public licenses as they stand in a sentence, normalised, with a part of a word that each form holds.
+NAMES = {
+    "MIT": ("licen", r"mit( x11| expat)? licen[sc]e( mit)?"),
+    "Apache-2.0": ("apache", r"apache( software)?( licen[sc]e)?( version| v)? ?v?2(\.0)?( licen[sc]e)?( the license)?"),
+    "GPL-3.0-or-later": ("public", r"gnu general public licen[sc]e( gpl)?( version| v)? ?v?3(\.0)?( of the license)? or( at your option)?( any)? later( version)?"),
+    "GPL-2.0-or-later": ("public", r"gnu general public licen[sc]e( gpl)?( version| v)? ?v?2(\.0)?( of the license)? or( at your option)?( any)? later( version)?"),
+    "GPL-3.0-only": ("public", r"gnu general public licen[sc]e( gpl)?( version| v)? ?v?3(\.0)?( only)?"),
+    "GPL-2.0-only": ("public", r"gnu general public licen[sc]e( gpl)?( version| v)? ?v?2(\.0)?( only)?"),
+    "LGPL-3.0-only": ("public", r"gnu lesser general public licen[sc]e( lgpl)?( version| v)? ?v?3(\.0)?( only)?"),
+    "LGPL-2.1-only": ("public", r"gnu lesser general public licen[sc]e( lgpl)?( version| v)? ?v?2\.1( only)?"),
+    "LGPL": ("public", r"gnu lesser general public licen[sc]e.*"),
+    "AGPL-3.0": ("affero", r"gnu affero general public licen[sc]e.*"),
+    "MPL-2.0": ("mozilla", r"mozilla public licen[sc]e( mpl)?( version| v)? ?v?2(\.0)?"),
+    "EPL-2.0": ("eclipse", r"eclipse public licen[sc]e( version| v)? ?v?2(\.0)?"),
+    "BSL-1.0": ("boost", r"boost software licen[sc]e( version)? 1\.0"),
+    "BSD-3-Clause": ("licen", r"(bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd) licen[sc]e"),
+    "BSD-2-Clause": ("licen", r"(bsd 2 clause|2 clause bsd|simplified bsd|freebsd) licen[sc]e"),
+    "ISC": ("licen", r"isc licen[sc]e"),
+    "Zlib": ("zlib", r"zlib( libpng)? licen[sc]e"),
+    "Unlicense": ("unlicense", r"unlicense( licen[sc]e)?"),
+    "CC0-1.0": ("cc0", r"cc0( 1\.0)?( universal)?( public domain dedication)?( licen[sc]e)?"),
+    "CC-BY-NC-SA-4.0": ("cc", r"cc by nc sa 4\.0( international)?( licen[sc]e)?"),
+    "CC-BY-NC-ND-4.0": ("cc", r"cc by nc nd 4\.0( international)?( licen[sc]e)?"),
+    "CC-BY-NC-4.0": ("cc", r"cc by nc 4\.0( international)?( licen[sc]e)?"),
+    "CC-BY-SA-4.0": ("cc", r"cc by sa 4\.0( international)?( licen[sc]e)?"),
+    "CC-BY-ND-4.0": ("cc", r"cc by nd 4\.0( international)?( licen[sc]e)?"),
+    "CC-BY-4.0": ("cc", r"cc by 4\.0( international)?( licen[sc]e)?"),
+    "CC-BY-SA-3.0": ("cc", r"cc by sa 3\.0( unported)?( licen[sc]e)?"),
+    "CC-BY-3.0": ("cc", r"cc by 3\.0( unported)?( licen[sc]e)?"),
 }
+#: The long names of the Creative Commons licenses, by their short ones.
+COMMONS = {"by": "attribution", "nc": "non ?commercial", "sa": "share ?alike", "nd": "no ?derivatives"}
+NAMED = r"((this|the)( \w+)?( \w+)? is |are |all files are )?(dual )?(released|licensed|distributed|available|provided|published|covered|subject)( under| by| to)?( the terms( and conditions)? of)?( the| an?)? {}( see .*)?"
+FREE = r"this (program|file|library|software) is free software you can redistribute it and or modify it under the terms of the gnu {}general public licen[sc]e as published by the free software foundation"
+LATER = r"either version {}( of the license)? or at your option any later version"
+
+#: Other sentences of public licenses, normalised, as patterns that a whole sentence must match, each with a part of a
+#: word that the sentence holds.
+SENTENCES = {
+    "mit-grant": ("permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files .*"),
+    "mit-notice": ("permission", r"the above copyright notice and this permission notice( including the next paragraph)? shall be included in all copies or substantial portions of the software"),
+    "asis-software": ("warrant", r"the software is provided as is without warranty of any kind .*"),
+    "asis-liability": ("liable", r"in no event shall the (authors|author|copyright holders|copyright holder|copyright owner|regents) (or copyright holders |or contributors )?be liable for any .*"),
+    "apache-2-title": ("apache", r"apache license version 2\.0 january 2004.*"),
+    "apache-2-use": ("complian", r"you may not use this (file|work) except in compliance with the license"),
+    "apache-2-copy": ("licen", r"you may obtain a copy of the license at( .*)?"),
+    "apache-2-asis": ("warrant|distributed", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis .*"),
+    **{f"{family}-{v}-free-later": ("redistribute", FREE.format(word) + " " + LATER.format(number)) for family, word, v, number in (("gpl", "", "3", r"3(\.0)?"), ("gpl", "", "2", r"2(\.0)?"), ("lgpl", "(lesser|library) ", "3", r"3(\.0)?"), ("lgpl", "(lesser|library) ", "21", r"2\.1"), ("lgpl", "(lesser|library) ", "2", r"2(\.0)?"), ("agpl", "affero ", "3", r"3(\.0)?"))},
+    "lgpl-any-free": ("redistribute", FREE.format("(lesser|library) ") + ".*"),
+    "agpl-any-free": ("redistribute", FREE.format("affero ") + ".*"),
+    "gpl-any-free": ("redistribute", FREE.format("") + ".*"),
+    "gpl-3-later": ("version", LATER.format(r"3(\.0)?")),
+    "gpl-2-later": ("version", LATER.format(r"2(\.0)?")),
+    "lgpl-21-later": ("version", LATER.format(r"2\.1")),
+    "gpl-3-title": ("public", r"gnu general public license version 3 29 june 2007"),
+    "gpl-2-title": ("public", r"gnu general public license version 2 june 1991"),
+    "agpl-3-title": ("affero", r"gnu affero general public license version 3 19 november 2007"),
+    "lgpl-3-title": ("public", r"gnu lesser general public license version 3 29 june 2007"),
+    "mpl-2-form": ("mozilla", r"this source code form is subject to the terms of the mozilla public license v\.? ?2\.0"),
+    "bsd-grant": ("redistribut", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    "bsd-source": ("redistribut", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    "bsd-binary": ("redistribut", r"redistributions in binary form must reproduce the above copyright notice .*"),
+    "bsd-endorse": ("endorse", r"neither the name of .* may be used to endorse or promote products .*"),
+    "isc-grant": ("permission", r"permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted .*"),
+    "zlib-grant": ("permission", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely .*"),
+    "boost-grant": ("permission", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license .*"),
+    "unlicense-text": ("unencumbered", r"this is free and unencumbered software released into the public domain"),
+    **{f"{name.lower()}-named": (need, NAMED.format(pattern)) for name, (need, pattern) in NAMES.items()},
+    **{
+        f"{name.lower()}-long": ("commons", NAMED.format(f"creative commons {' '.join(COMMONS[x] for x in name.lower().split('-')[1:-1])} {name[-3:].replace('.', '[.]')}( international| unported)?( public)?( licen[sc]e)?"))
+        for name in NAMES if name.startswith("CC-")
+    },
+    "cc0-waived": ("universal", r".*\bcc0 1\.0 universal.*"),
+    "all-rights": ("reserved", r"(copyright .*)?all rights reserved"),
+}
 
 #: Identifiers in order (one may be left out where it ends in ?) and the license they make, first rule first.
 RULES = [
     (("mit-grant", "mit-notice", "asis-software?", "asis-liability?"), "MIT"),
-    (("mit-named",), "MIT"),
-    (("apache-2-named", "apache-2-use?", "apache-2-copy?", "apache-2-asis?"), "Apache-2.0"),
+    (("apache-2.0-named", "apache-2-use?", "apache-2-copy?", "apache-2-asis?"), "Apache-2.0"),
+    (("apache-2-title",), "Apache-2.0"),
     (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "asis-liability?"), "BSD-3-Clause"),
     (("bsd-grant", "bsd-source", "bsd-binary", "asis-liability?"), "BSD-2-Clause"),
     (("isc-grant", "asis-liability?"), "ISC"),
+    (("zlib-grant",), "Zlib"),
+    (("boost-grant", "asis-software?", "asis-liability?"), "BSL-1.0"),
     (("gpl-3-free-later",), "GPL-3.0-or-later"),
     (("gpl-2-free-later",), "GPL-2.0-or-later"),
     (("gpl-any-free", "gpl-3-later"), "GPL-3.0-or-later"),
@@ -74,31 +113,30 @@ RULES = [
     (("lgpl-any-free", "lgpl-21-later"), "LGPL-2.1-or-later"),
     (("lgpl-any-free", "gpl-2-later"), "LGPL-2.0-or-later"),
     (("lgpl-any-free",), "LGPL"),
-    (("gpl-3-named",), "GPL-3.0-only"),
-    (("gpl-2-named",), "GPL-2.0-only"),
-    (("lgpl-named",), "LGPL"),
-    (("agpl-3-named",), "AGPL-3.0"),
-    (("mpl-2-named",), "MPL-2.0"),
-    (("cc-by-nc-4-named",), "CC-BY-NC-4.0"),
-    (("cc-by-sa-4-named",), "CC-BY-SA-4.0"),
-    (("cc-by-4-named",), "CC-BY-4.0"),
-    (("cc0-named",), "CC0-1.0"),
-    (("unlicense",), "Unlicense"),
+    (("agpl-3-free-later",), "AGPL-3.0-or-later"),
+    (("agpl-any-free", "gpl-3-later"), "AGPL-3.0-or-later"),
+    (("gpl-3-title",), "GPL-3.0-only"),
+    (("gpl-2-title",), "GPL-2.0-only"),
+    (("agpl-3-title",), "AGPL-3.0-only"),
+    (("lgpl-3-title",), "LGPL-3.0-only"),
+    (("mpl-2-form",), "MPL-2.0"),
+    (("unlicense-text",), "Unlicense"),
+    *(((f"{name.lower()}-named",), name) for name in NAMES),
+    *(((f"{name.lower()}-long",), name) for name in NAMES if name.startswith("CC-")),
+    (("cc0-waived",), "CC0-1.0"),
     (("all-rights",), "Proprietary"),
 ]
 _TERM = r"(?:\([ \t]*)*[\w.+:-]*[\w+](?:[ \t]*\))*"
 SPDX = re.compile(rf"SPDX-License-Identifier:[ \t]*({_TERM}(?:(?:[ \t]+|(?<=\)))(?:AND|OR|WITH)(?:[ \t]+|(?=\()){_TERM})*)")
 #: Words of a sentence may be parted by joins of pieces, and a sentence ends where a piece does.
-COMPILED = {name: re.compile(f"(?:{pattern})(?![^\n])".replace(" ", "[ \n]"), re.DOTALL) for name, pattern in SENTENCES.items()}
-#: Words after the open part of a pattern; without them it would be tried on all that follows, for each piece.
-LATER = {"bsd-endorse": "endorse", "all-rights": "reserved"}
-#: First words of the sentences above; of the others, a piece has cc0.
-FIRST = re.compile(r"(?:this|released|licensed|distributed|available|permission|the|in|you|unless|either|redistributions?|neither|copyright|all)\b|[^\n]*cc0")
-#: Every sentence above has one of these words, so other texts and sentences need no pattern.
-HINTS = re.compile(rb"licen[sc]|permi|warrant|redistribut|liable|copy|rights|public domain|endorse|agreed|as is|option|cc0|notice|spdx|free", re.IGNORECASE)
+COMPILED = {name: re.compile(f"(?:{pattern})(?![^\n])".replace(" ", "[ \n]"), re.DOTALL) for name, (_, pattern) in SENTENCES.items()}
+NEEDS = {name: tuple(need.split("|")) for name, (need, _) in SENTENCES.items()}
+#: Parts of words without which a text holds no sentence; short ones count as whole words only.
+PARTS = tuple(sorted({n for needs in NEEDS.values() for n in needs if len(n) > 3} | {"spdx"}))
+SHORT = {n: re.compile(rf"(?<![^\W_]){n}(?![^\W_])") for needs in NEEDS.values() for n in needs if len(n) < 4}
 #: Places inside a line where a sentence ends or may go on.
-CUT = re.compile(r"(?<=[.!?])[ \t\r\f\v]+(?=[A-Z0-9\"'(])|(?<=;)[ \t\r\f\v]+")
-END = re.compile(r"[.!?][\"')\]]*$")
+CUT = re.compile(r"(?<=[.!?])(?<!\b[vV]\.)[ \t\r\f\v]+(?=[A-Z0-9\"'(])|(?<=;)[ \t\r\f\v]+")
+END = re.compile(r"(?<!\b[vV])[.!?][\"')\]]*$")
 ITEM = re.compile(r"\(?(?:\d{1,2}|[a-z]|[ivx]{2,4})[.)][ \t]+")
 MARKS = re.compile(r"^[\s/*#;%!>|-]+|[\s*/|-]+$")
 DROPPED = re.compile(r"[\"'`,;:()\[\]{}<>/_*#=|!?-]+")
@@ -135,22 +173,31 @@ def identified(pieces: list[str]) -> list[tuple[str, str]]:
     """
     whole, found = "\n".join(pieces), []
     at = limit = len(whole)
-    last = {name: whole.rfind(word) for name, word in LATER.items()}
+    last = last_needs(whole, limit)
     for piece in reversed(pieces):
         at -= len(piece)
-        if FIRST.match(whole, at):
-            for name, pattern in COMPILED.items():
-                if last.get(name, at) < at or name == "cc0-named" and "cc0" not in piece:
-                    continue
-                if m := pattern.match(whole, at, limit):
-                    found.append((name, m[0].replace("\n", " ")))
-                    limit = max(0, at - 1)
-                    last = {name: whole.rfind(word, 0, limit) for name, word in LATER.items()}
-                    break
+        for name in [n for n, i in last.items() if i >= at]:
+            if m := COMPILED[name].match(whole, at, limit):
+                found.append((name, m[0].replace("\n", " ")))
+                limit = max(0, at - 1)
+                last = last_needs(whole, limit)
+                break
         at -= 1
     return found[::-1]
 
 
+def last_needs(whole: str, limit: int) -> dict[str, int]:
+    """For each sentence that can be in whole[:limit], in order of the table, the last place of a part that it needs."""
+    places = {n: whole.rfind(n, 0, limit) for needs in NEEDS.values() for n in needs}
+    return {name: i for name, needs in NEEDS.items() if (i := max(places[n] for n in needs)) >= 0}
+
+
+def hinted(text: str) -> bool:
+    """Whether a text has a part that a sentence needs; without one it holds none."""
+    lowered = text.lower()
+    return any(part in lowered for part in PARTS) or any(n in lowered and bool(p.search(lowered)) for n, p in SHORT.items())
+
+
 def known(text: str) -> Iterator[tuple[str, str]]:
     """(identifier, sentence) of all known sentences of a text, in order."""
     for pieces in paragraphs(text):
@@ -205,10 +252,9 @@ def expression(text: str) -> str:
 
 def scan_text(text: str | None) -> tuple[int, list[str], list[str]]:
     """(known sentences, their identifiers, distinct licenses in order of first occurrence)."""
-    data = (text or "").encode()
-    if not HINTS.search(data):
+    if not text or not hinted(text):
         return 0, [], []
-    found, at, text = [], 0, text or ""
+    found, at = [], 0
     for m in SPDX.finditer(text):
         found += [*known(text[at : m.start()]), ("spdx", expression(m[1]))]
         at = m.start() + len(m[0].rstrip(") \t"))
@@ -219,7 +265,8 @@ def scan_text(text: str | None) -> tuple[int, list[str], list[str]]:
 def scan(df: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of df: id_col, n_sentences (known ones), sentence_ids, licenses; no shuffle.
 
-    Null and empty texts have none; whole texts are read, and sentences run over line ends up to a blank line, a list item or an SPDX line.
+    Null and empty texts have none; whole texts are read, however long, and sentences run over line ends up to a blank line, a list item
+    or an SPDX mark.  Repeated rows stay; other columns are ignored, whatever their names; an empty table gives no rows.
     """
     own = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
 
