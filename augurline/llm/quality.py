@@ -1,8 +1,11 @@
 """Quality rules with risk-controlled thresholds.
 
-Features are counted over whole texts.  For each stratum and feature, a grid of cutoffs is tried on labelled documents: a cutoff is
-certified if, by an exact binomial test, the share of good documents it rejects is below a limit, at a level that is divided by the
-number of all tests (Bonferroni).  Of the certified cutoffs of a feature, the one that separates best takes effect.
+Features are counted over whole texts, and a document's score is the largest of their ratios.  In each stratum, cutoffs of the score are
+tried on labelled documents one after another, from the laxest: a cutoff is certified if, by an exact binomial test, the share of good
+documents that it rejects, for whatever feature, is below a limit.  The sequence ends at the first cutoff that fails, so its tests need
+no division of the level between them (fixed-sequence testing); between the strata with labels the level is divided (Bonferroni).  All
+labelled documents take part in the tests, since the sequence and its order are fixed beforehand and nothing is learned from them but
+where it ends; of the certified cutoffs, all of which keep the limit at once, the one that separates best takes effect.
 """
 
 from __future__ import annotations
@@ -14,8 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from augurline.llm import textops
+from augurline.llm.cluster import stored
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -28,7 +33,7 @@ LETTERS[textops.SPACE] = False
 WINDOW = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_bangs", "n_lines")
 
-#: A feature's value is 1000 times a ratio, rounded down; larger is worse.  Grids of cutoffs: reject above.
+#: A feature's value is 1000 times a ratio, rounded down; larger is worse.  Cutoffs, from the laxest: reject above.
 RATIOS = {
     "symbols": ("n_symbols", "n_words"),
     "bangs": ("n_bangs", "n_words"),
@@ -36,7 +41,7 @@ RATIOS = {
     "dup_lines": ("n_dup_lines", "n_lines"),
     "repeats": ("n_repeat_words", "n_words"),
 }
-GRID = (20, 50, 100, 150, 200, 300, 400, 500, 700)
+GRID = (700, 500, 400, 300, 200, 150, 100, 50, 20)
 STRATA = ("en", "de", "fr", "es")
 
 
@@ -77,7 +82,11 @@ def measure(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[p
 
 
 def features(df: DataFrame, *, id_col: str = "doc_id", stratum: str = "lang", text: str = "text") -> DataFrame:
-    """One row per row of df: id, stratum and COUNTS; a null text has no words."""
+    """One row per row of df: id, stratum and COUNTS.
+
+    A null text has no words; repeated rows stay; other columns are ignored, whatever their names; an empty table gives no rows; very
+    long texts are measured whole.
+    """
     slim = df.select(F.col(id_col).alias("id"), F.col(stratum).alias("stratum"), F.col(text).alias("text"))
     schema = ", ".join(["id " + dict(slim.dtypes)["id"], "stratum " + dict(slim.dtypes)["stratum"], *(f"{c} long" for c in COUNTS)])
     return slim.mapInArrow(textops.trimmed(measure), schema)
@@ -88,8 +97,12 @@ def ratio(name: str) -> Column:
     return F.expr(f"coalesce(1000 * {a} div {b}, 0)")
 
 
-def stratum_of(column: str) -> Column:
-    return F.when(F.col(column).isin(*STRATA), F.col(column)).otherwise("other")
+def score() -> Column:
+    return F.greatest(*(ratio(name) for name in RATIOS))
+
+
+def stratum_of(column: str, strata: tuple[str, ...]) -> Column:
+    return F.when(F.col(column).isin(*strata), F.col(column)).otherwise("other")
 
 
 def base_failed(max_repeat: int = 30, min_words: int = 20) -> Column:
@@ -105,65 +118,63 @@ def binomial_cdf(x: int, n: int, p: float) -> float:
     return min(1.0, exp(top) * sum(exp(t - top) for t in terms))
 
 
-def certified(counts: dict[tuple[str, str], dict[int, tuple[int, int]]], sizes: dict[str, int], *, limit: float = 0.01, level: float = 0.05) -> dict[tuple[str, str], int]:
-    """The cutoff of each (stratum, feature) that has a certified one.
+def certified(counts: dict[str, dict[int, tuple[int, int]]], sizes: dict[str, int], *, limit: float = 0.01, level: float = 0.05) -> dict[str, int]:
+    """The cutoff of each stratum that has a certified one.
 
-    counts: for each cutoff the good and bad documents above it; sizes: good documents of each stratum.  A cutoff is certified if
-    P(Bin(n, limit) <= rejected good documents) <= level / tests.  The best has the most bad less good rejections; the laxer wins ties.
+    counts: for each cutoff the good and bad documents above it; sizes: good documents of each stratum.  A test rejects if
+    P(Bin(n, limit) <= rejected good documents) <= level / strata.  With probability 1 - level, no stratum loses more than the limit.
+    The best cutoff has the most bad less good rejections; the laxer wins ties.
     """
-    tests = (len(STRATA) + 1) * len(RATIOS) * len(GRID)
-    chosen = {}
-    for (stratum, name), of in sorted(counts.items()):
+    chosen, strata = {}, sum(n > 0 for n in sizes.values())
+    for stratum, of in sorted(counts.items()):
         n, found = sizes.get(stratum, 0), []
-        for cutoff, (good, bad) in of.items():
+        for cutoff, (good, bad) in sorted(of.items(), reverse=True):
             # far from the limit no sum is needed, and none gets long
-            if n and good <= limit * n and bad > good and binomial_cdf(good, n, limit) <= level / tests:
+            if not n or good > limit * n or binomial_cdf(good, n, limit) > level / strata:
+                break
+            if bad > good:
                 found.append((bad - good, cutoff))
         if found:
-            chosen[stratum, name] = max(found)[1]
+            chosen[stratum] = max(found)[1]
     return chosen
 
 
-def calibrate(measured: DataFrame, labels: DataFrame, *, limit: float = 0.01, level: float = 0.05) -> dict[tuple[str, str], int]:
+def calibrate(measured: DataFrame, labels: DataFrame, *, strata: tuple[str, ...] = STRATA, limit: float = 0.01, level: float = 0.05) -> dict[str, int]:
     """Cutoffs from all labelled documents that pass the base rules.
 
-    measured: rows of features(); labels: doc_id and quality (1 good, 0 bad; null says nothing; a document with both counts as good).
-    Only one row per stratum reaches the driver.
+    measured: rows with id, stratum and COUNTS; labels: doc_id and quality (1 good, 0 bad; null says nothing; a document with both
+    counts as good).  Strata besides those named are one, 'other'.  Only one row per stratum reaches the driver.
     """
     known = labels.where("quality is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
-    held = measured.where(~base_failed()).join(known, "id").withColumn("stratum", stratum_of("stratum"))
-    good, bad = F.col("quality") > 0, F.col("quality") <= 0
-    sums = [F.count_if(good).alias("n")]
-    for name in RATIOS:
-        for cutoff in GRID:
-            sums += [F.count_if(good & (ratio(name) > cutoff)).alias(f"good {name} {cutoff}"), F.count_if(bad & (ratio(name) > cutoff)).alias(f"bad {name} {cutoff}")]
+    held = measured.where(~base_failed()).join(known, "id").select(stratum_of("stratum", strata).alias("stratum"), (F.col("quality") > 0).alias("good"), score().alias("score"))
+    sums = [F.count_if("good").alias("n")]
+    for cutoff in GRID:
+        sums += [F.count_if(F.col("good") & (F.col("score") > cutoff)).alias(f"good {cutoff}"), F.count_if(~F.col("good") & (F.col("score") > cutoff)).alias(f"bad {cutoff}")]
     rows = held.groupBy("stratum").agg(*sums).collect()
-    counts = {(r["stratum"], name): {c: (r[f"good {name} {c}"], r[f"bad {name} {c}"]) for c in GRID} for r in rows for name in RATIOS}
+    counts = {r["stratum"]: {c: (r[f"good {c}"], r[f"bad {c}"]) for c in GRID} for r in rows}
     return certified(counts, {r["stratum"]: r["n"] for r in rows}, limit=limit, level=level)
 
 
-def verdict(cutoffs: dict[tuple[str, str], int]) -> Column:
-    """True for rows of features() that the base rules and all certified cutoffs keep."""
+def verdict(cutoffs: dict[str, int], strata: tuple[str, ...] = STRATA) -> Column:
+    """True for rows with stratum and COUNTS that the base rules and their stratum's cutoff keep."""
     kept = ~base_failed()
-    for (stratum, name), cutoff in sorted(cutoffs.items()):
-        kept &= ~((stratum_of("stratum") == stratum) & (ratio(name) > cutoff))
+    for stratum, cutoff in sorted(cutoffs.items()):
+        kept &= ~((stratum_of("stratum", strata) == stratum) & (score() > cutoff))
     return kept
 
 
-def keep_good(df: DataFrame, cutoffs: dict[tuple[str, str], int], *, stratum: str = "lang", text: str = "text") -> DataFrame:
-    """The rows of df that verdict() keeps, with their own columns only."""
-    names = df.columns
-    own = df.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), F.col(f"`{text}`").alias("text"), F.col(f"`{stratum}`").alias("stratum"))
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textops.small_batches(batches, "text"):
-            rows = batch.select([*(f"c{k}" for k in range(len(names))), "stratum", "text"])
-            counts = pa.Table.from_batches(list(measure(iter([rows.select(["text"])])))).combine_chunks()
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *(c.combine_chunks() for c in counts.columns)], [*rows.schema.names[:-1], *COUNTS])
-
-    from pyspark.sql.types import LongType, StructType
+def keep_good(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", stratum: str = "lang", text: str = "text", strata: tuple[str, ...] = STRATA, **risk) -> DataFrame:
+    """The rows of df that the base rules and the cutoffs learned from them and the labels keep, with their own columns only.
 
+    Texts are measured once: rows and counts are written to the shared folder, the cutoffs learned and the rows filtered from there.
+    Null texts have no words and go; a null stratum is in 'other', a null id has no label; repeated rows are judged alike; columns may
+    have any names; an empty table stays empty; very long texts are measured whole.
+    """
+    names = df.columns
+    own = df.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), F.col(f"`{text}`").alias("text"), F.col(f"`{stratum}`").alias("stratum"), F.col(f"`{id_col}`").alias("id"))
     schema = StructType([f for f in own.schema.fields if f.name != "text"])
     for c in COUNTS:
         schema = schema.add(c, LongType())
-    return own.mapInArrow(textops.trimmed(judged), schema).where(verdict(cutoffs)).select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
+    measured = stored(own.mapInArrow(textops.trimmed(measure), schema), "quality")
+    cutoffs = calibrate(measured, labels, strata=strata, **risk)
+    return measured.where(verdict(cutoffs, strata)).select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))

@@ -43,9 +43,8 @@ CHAT = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce
 
 
 def quality(limit: str = "0.01e0", level: str = "0.05e0") -> str:
-    tests = (len(STRATA) + 1) * len(RATIOS) * len(GRID)
     strata = ", ".join(f"'{s}'" for s in STRATA)
-    values = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{name}' AS feature, coalesce(1000 * {a} // nullif({b}, 0), 0) AS v FROM f" for name, (a, b) in RATIOS.items())
+    values = ", ".join(f"coalesce(1000 * {a} // nullif({b}, 0), 0)" for a, b in RATIOS.values())
     grid = ", ".join(f"({c})" for c in GRID)
     count = lambda pattern: f"length(regexp_replace(x, '[^{pattern}]', '', 'g'))"
     return f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS x FROM documents), w AS MATERIALIZED (SELECT doc_id, lang, x, regexp_extract_all(x, {WORD}) AS w FROM d),
@@ -53,11 +52,12 @@ def quality(limit: str = "0.01e0", level: str = "0.05e0") -> str:
  r AS (SELECT doc_id, count(DISTINCT j) AS c FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM n) WHERE k > 1) GROUP BY 1),
  l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dups FROM (SELECT doc_id, unnest(string_split(x, chr(10))) AS line FROM d) WHERE regexp_matches(line, {WORD}) GROUP BY 1),
  f AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM (SELECT doc_id, CASE WHEN lang IN ({strata}) THEN lang ELSE 'other' END AS stratum, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, {count('#*$%&|<>')} AS n_symbols, coalesce(l.dups, 0) AS n_dup_lines, coalesce(r.c, 0) AS n_repeat_words, {count('A-Z')} AS n_capitals, {count('!')} AS n_bangs, coalesce(l.n_lines, 0) AS n_lines FROM w LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id))),
- v AS MATERIALIZED ({values}), k AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY 1),
- h AS (SELECT stratum, feature, cutoff, sum(CAST(quality > 0 AS INTEGER)) AS n, coalesce(sum(CASE WHEN quality > 0 AND v > cutoff THEN 1 END), 0) AS good, coalesce(sum(CASE WHEN quality <= 0 AND v > cutoff THEN 1 END), 0) AS bad FROM v JOIN k USING (doc_id) CROSS JOIN (VALUES {grid}) AS g(cutoff) WHERE NOT base_failed GROUP BY 1, 2, 3),
- s AS (SELECT h.*, (SELECT sum(exp(lgamma(n + 1) - CASE WHEN i > 0 THEN lgamma(i + 1) ELSE 0 END - lgamma(n - i + 1) + i * ln({limit}) + (n - i) * ln(1 - {limit}))) FROM (SELECT unnest(range(CAST(h.good + 1 AS BIGINT))) AS i)) AS p FROM h WHERE n > 0 AND good <= {limit} * n AND bad > good),
- c AS (SELECT stratum, feature, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY stratum, feature ORDER BY bad - good DESC, cutoff DESC) AS o FROM s WHERE p <= {level} / {tests}) WHERE o = 1),
- x AS (SELECT DISTINCT doc_id FROM v JOIN c USING (stratum, feature) WHERE v.v > c.cutoff)
+ v AS MATERIALIZED (SELECT doc_id, stratum, base_failed, greatest({values}) AS v FROM f), k AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+ h AS (SELECT stratum, cutoff, sum(CAST(quality > 0 AS INTEGER)) AS n, coalesce(sum(CASE WHEN quality > 0 AND v > cutoff THEN 1 END), 0) AS good, coalesce(sum(CASE WHEN quality <= 0 AND v > cutoff THEN 1 END), 0) AS bad FROM v JOIN k USING (doc_id) CROSS JOIN (VALUES {grid}) AS g(cutoff) WHERE NOT base_failed GROUP BY 1, 2),
+ s AS (SELECT h.*, CASE WHEN n > 0 AND good <= {limit} * n THEN (SELECT sum(exp(lgamma(n + 1) - CASE WHEN i > 0 THEN lgamma(i + 1) ELSE 0 END - lgamma(n - i + 1) + i * ln({limit}) + (n - i) * ln(1 - {limit}))) FROM (SELECT unnest(range(CAST(h.good + 1 AS BIGINT))) AS i)) ELSE 1 END AS p FROM h),
+ q AS (SELECT *, bool_and(p <= {level} / (SELECT count(DISTINCT stratum) FROM h WHERE n > 0)) OVER (PARTITION BY stratum ORDER BY cutoff DESC) AS passed FROM s),
+ c AS (SELECT stratum, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY bad - good DESC, cutoff DESC) AS o FROM q WHERE passed AND bad > good) WHERE o = 1),
+ x AS (SELECT DISTINCT doc_id FROM v JOIN c USING (stratum) WHERE v.v > c.cutoff)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM x) AS kept FROM f"""
 
 

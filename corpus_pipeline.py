@@ -10,8 +10,7 @@ from augurline.llm.cluster import stored
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the certified thresholds keep."""
-    measured = stored(quality.features(docs), "quality")
-    return quality.keep_good(docs, quality.calibrate(measured, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from augurline.llm import chat, decontam, licenses, packing, quality, queries, textops
 
@@ -116,28 +117,63 @@ def test_quality(spark, sf, odd):
     cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     rows = quality.features(docs).collect()
     assert Counter((r["id"], *(r[c] for c in cols)) for r in rows) == Counter((r["doc_id"], *plain_features(r["text"])) for r in docs.collect())
-    kept = quality.keep_good(docs.withColumnRenamed("n_chars", "id"), {("en", "symbols"): 50})
-    assert kept.columns == ["doc_id", "text", "lang", "source", "id"]
-
-    def stays(r):
-        n, _, symbols, _, repeat = plain_features(r["text"])
-        return n >= 20 and 100 * repeat <= 30 * n and not (r["lang"] == "en" and 1000 * symbols // n > 50)
-
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in docs.collect() if stays(r))
     assert quality.features(docs.limit(0)).count() == 0
-    empty = quality.calibrate(quality.features(docs), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
-    assert empty == {}
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.calibrate(quality.features(docs), none) == {}
+    clashing = docs.withColumnRenamed("n_chars", "id").withColumn("n_words", F.lit("x")).withColumn("stratum", F.lit(1))
+    kept = quality.keep_good(clashing, none)
+    assert kept.columns == ["doc_id", "text", "lang", "source", "id", "n_words", "stratum"]
+    plain = [(r["doc_id"], *plain_features(r["text"])) for r in docs.collect()]
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, n, _, _, _, repeat in plain if n >= 20 and 100 * repeat <= 30 * n)
+
+
+def labelled(spark):
+    """Documents of which those with many symbols are bad, in three strata: many, few and no labels."""
+    rng, rows, labels = random.Random(9), [], []
+    for i in range(1600):
+        lang, bad = ("en", "de", None)[0 if i < 1200 else 1 if i < 1500 else 2], i % 10 == 0
+        words = [f"w{rng.randrange(5000)}" for _ in range(40)]
+        marks = rng.randrange(14, 40) if bad else rng.randrange(3) * (i % 7 == 0) + 12 * (i in (1, 2, 3, 4, 5, 6, 7, 8))
+        rows.append((i, " ".join(words + [f"#{k}" for k in range(marks)]), lang))
+        if lang:
+            labels.append((i, int(not bad)))
+    labels += [(10, 1), (11, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+
+
+def test_certified_cutoffs_equal_sql(spark, tmp_path):
+    import duckdb
+
+    from augurline.llm import sql
+
+    docs, labels = labelled(spark)
+    measured = quality.features(docs)
+    for limit, level, want in ((0.01, 0.05, {"en": 300}), (0.05, 0.05, {"en": 200, "de": 200}), (0.001, 0.05, {})):
+        cutoffs = quality.calibrate(measured, labels, limit=limit, level=level)
+        assert cutoffs == want
+        base = duckdb.connect()
+        base.register("documents", docs.toPandas())
+        base.register("labels", labels.toPandas().astype({"quality": "Int64"}))
+        rows = {r[0]: r[-1] for r in base.sql(sql.quality(f"{limit}e0", f"{level}e0")).fetchall()}
+        assert rows == {r["id"]: r["kept"] for r in measured.withColumn("kept", quality.verdict(cutoffs)).collect()}
+        kept = quality.keep_good(docs, labels, limit=limit, level=level)
+        assert {r["doc_id"] for r in kept.collect()} == {d for d, k in rows.items() if k}
+    assert quality.calibrate(measured, labels, strata=("de",), limit=0.05) == {"other": 200, "de": 200}
 
 
 def test_thresholds_control_risk():
     assert quality.binomial_cdf(0, 10, 0.1) == pytest.approx(0.9**10)
     assert quality.binomial_cdf(3, 10, 0.3) == pytest.approx(sum(__import__("math").comb(10, k) * 0.3**k * 0.7 ** (10 - k) for k in range(4)))
-    assert quality.certified({("en", "symbols"): {50: (0, 5), 100: (0, 5)}}, {"en": 100}) == {}
-    assert quality.certified({("en", "symbols"): {50: (30, 90), 100: (0, 80), 150: (0, 80)}}, {"en": 5000}) == {("en", "symbols"): 150}
-    # a cutoff whose true false-rejection rate is at the limit is certified no more often than the level allows
-    rng = np.random.default_rng(3)
-    passed = sum(bool(quality.certified({("en", "symbols"): {50: (int(x), 10**6)}}, {"en": 3000})) for x in rng.binomial(3000, 0.01, 400))
-    assert passed <= 2
+    assert quality.certified({"en": {50: (0, 5), 100: (0, 5)}}, {"en": 100}) == {}
+    assert quality.certified({"en": {50: (30, 90), 100: (0, 80), 150: (0, 80)}}, {"en": 5000}) == {"en": 150}
+    assert quality.certified({"en": {50: (0, 90), 100: (90, 900), 150: (0, 8)}}, {"en": 5000}) == {"en": 150}  # nothing after a failure
+    # over whole sequences, the share of strata in which a cutoff with more false rejections than the limit takes effect is the level
+    rng, wrong = np.random.default_rng(3), 0
+    for _ in range(400):
+        scores = rng.random(3000)  # good documents; the cutoffs reject 0.5, 0.8, 1.01, 1.5 and 3 % of them
+        counts = {c: (int((scores < share).sum()), 10**6 // c) for c, share in ((500, 0.005), (400, 0.008), (300, 0.0101), (200, 0.015), (100, 0.03))}
+        wrong += quality.certified({"en": counts}, {"en": 3000}).get("en", 500) < 400
+    assert wrong <= 400 * 0.05 + 12
 
 
 def test_decontamination(spark, sf, odd):
