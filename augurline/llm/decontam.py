@@ -10,6 +10,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructType
@@ -77,26 +78,34 @@ def search(words: list[bytes], matchers: list[Matcher], hit: bytearray, items: s
 
 
 def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> list[str]:
-    """The benchmark in files of about `most` bytes in the shared folder; the driver holds one at a time."""
-    folder, made, rows, size = shared_folder(benchmark.sparkSession, "benchmark"), [], [], 0
-    ordered = benchmark.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
-
-    def flush() -> None:
-        made.append(f"{folder}/{len(made):06d}.arrow")
-        table, sink = pa.Table.from_pylist(rows, pa.schema([("item", pa.string()), ("text", pa.string())])), pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as out:
-            out.write_table(table)
-        write_file(made[-1], sink.getvalue().to_pybytes())
-
-    for row in ordered.toLocalIterator():
-        rows.append(row.asDict())
-        size += len(row["text"])
-        if size >= most:
+    """The benchmark in files of about `most` bytes in the shared folder, written by the tasks that read it."""
+    folder = shared_folder(benchmark.sparkSession, "benchmark")
+    rows = benchmark.where(F.col(f"`{text_col}`").isNotNull()).select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{text_col}`").alias("text"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made, held, size = TaskContext.get().partitionId(), [], [], 0
+
+        def flush() -> None:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as out:
+                for b in held:
+                    out.write_batch(b)
+            made.append(f"{folder}/{part:06d}-{len(made):06d}.arrow")
+            write_file(made[-1], sink.getvalue().to_pybytes())
+
+        for batch in textops.small_batches(batches, "text", most):
+            _, offsets = textops.buffers(batch.column("text"))
+            if held and size + int(offsets[-1]) > most:
+                flush()
+                held, size = [], 0
+            held.append(batch)
+            size += int(offsets[-1])
+        if held:
             flush()
-            rows, size = [], 0
-    if rows:
-        flush()
-    return made
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["name"])
+
+    # A name for each `most` bytes.
+    return sorted(r["name"] for r in rows.mapInArrow(textops.trimmed(task), "name string").collect())
 
 
 _kept: dict[str, list[Matcher]] = {}
@@ -111,20 +120,36 @@ def matchers_of(block: str) -> list[Matcher]:
     return _kept[block]
 
 
-def scan(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_col: str = "item_id", item_text: str = "text", min_items: int = 2, block_bytes: int = 4 << 20) -> DataFrame:
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of text; most = 0: as they come."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(textops.buffers(batch.column("text"))[0])
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def scan(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_col: str = "item_id", item_text: str = "text", min_items: int = 2, block_bytes: int = 4 << 20, gather_bytes: int = 16 << 20) -> DataFrame:
     """df without its text and with n_words, n_hit, n_items (long), items (sorted strings), contaminated; no shuffle.
 
-    The benchmark is cut into files of block_bytes; a task loads one at a time and runs it over its batch, so memory is bounded
-    whatever the benchmark's size.  Null and empty texts have no words; items without words are never found; an item id that occurs
-    repeatedly is one item.  Long texts are searched whole.
+    The benchmark is cut into files of block_bytes, and a task holds one at a time.  With several, a task gathers gather_bytes of
+    documents and runs each file over them, so it loads a file once for so many documents.  Null and empty texts have no words; items
+    without words are never found; an item id that occurs repeatedly is one item, and null ids are the item ''.  Long texts are searched
+    whole; repeated rows stay; an empty table gives no rows, and an empty benchmark finds nothing.  Columns of df with the name of a new
+    one give way to it.
     """
 
     blocks = blocks_of(benchmark, item_col, item_text, block_bytes)
-    names = [c for c in df.columns if c != text]
+    made = ("n_words", "n_hit", "n_items", "items", "contaminated")
+    names = [c for c in df.columns if c != text and c not in made]
     own = df.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), F.col(f"`{text}`").alias("text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textops.small_batches(batches, "text"):
+        for batch in gathered(textops.small_batches(batches, "text"), gather_bytes if len(blocks) > 1 else 0):
             if len(blocks) < 2:
                 found = [found_in(words_of(t.as_py()), blocks) for t in batch.column("text")]
             else:
@@ -155,11 +180,11 @@ def found_in(words: list[bytes], blocks: list[str]) -> tuple[int, int, list[str]
 
 
 def clean(df: DataFrame, benchmark: DataFrame, *, min_items: int = 1, **options) -> DataFrame:
-    """The rows of df with fewer than min_items benchmark items, with their own columns."""
+    """The rows of df with fewer than min_items benchmark items, with their own columns, whatever their names; cases as in scan()."""
     names = df.columns
     text = options.pop("text", "text")
-    doubled = df.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text}`").alias("__searched"))
-    return scan(doubled, benchmark, text="__searched", min_items=min_items, **options).where("not contaminated").select(*(F.col(f"`{c}`") for c in names))
+    doubled = df.select(*(F.col(f"`{c}`").alias(f"own{k}") for k, c in enumerate(names)), F.col(f"`{text}`").alias("text"))
+    return scan(doubled, benchmark, min_items=min_items, **options).where("not contaminated").select(*(F.col(f"own{k}").alias(c) for k, c in enumerate(names)))
 
 
 def items_digest(items: list[str]) -> str:

@@ -200,6 +200,14 @@ def test_decontamination(spark, sf, odd):
     assert decontam.clean(docs, bench).count() == sum(n for k, n in want.items() if not k[3])
     assert decontam.scan(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontam.scan(docs.limit(0), bench).count() == 0
+    clashing = docs.selectExpr("doc_id", "text", "'a' as n_words", "2 as items", "3 as contaminated", "4 as __searched", "doc_id as n_hit", "5 as c0", "6 as own0")
+    kept = decontam.clean(clashing, bench)
+    assert kept.schema == clashing.schema
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in decontam.clean(docs, bench).collect())
+    assert decontam.scan(clashing, bench).columns == ["doc_id", "__searched", "c0", "own0", "n_words", "n_hit", "n_items", "items", "contaminated"]
+    many = bench.unionByName(bench.selectExpr("item_id + 10000 as item_id", "concat(text, ' and more') as text")).repartition(5)
+    few = {r["doc_id"]: r["n_hit"] for r in decontam.scan(docs, many).collect()}
+    assert few == {r["doc_id"]: r["n_hit"] for r in decontam.scan(docs, many, block_bytes=2000, gather_bytes=100_000).collect()}
 
 
 def test_licenses(spark, odd):
