@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,48 +27,68 @@ from augurline.llm import textops
 from augurline.llm.cluster import mapped, new_file, shared_folder, shuffle_partitions, write_file
 
 DOC = np.dtype([("id", "<i8"), ("valid", "u1")])
-#: Each is a token end for this family of pre-tokenizers: it is neither a letter, a number, white space nor an apostrophe.
+#: The normaliser and pre-tokenizer that the lookup of words rests on.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: Each is a token end for this pre-tokenizer: it is neither a letter, a number, white space nor an apostrophe.
 PUNCTUATION = b",.!?;:*#$%&"
 
 
+def word_wise(definition: dict) -> bool:
+    """Whether a tokenizer's ids of a text are those of its words, one after another, as WordEncoder's lookup needs.
+
+    It must have the normaliser and pre-tokenizer above, which treat each word alike wherever it stands, no dropout and no other
+    steps, and each added token must hold ``<|``, so that words without it can be lower-cased beforehand.
+    """
+    model = definition.get("model", {})
+    plain = definition.get("normalizer") == NORMALIZER and definition.get("pre_tokenizer") == PRE_TOKENIZER and model.get("type") == "BPE" and not model.get("dropout")
+    added = all("<|" in t["content"] and not any(c.isspace() for c in t["content"]) and not t["lstrip"] and not t["rstrip"] for t in definition.get("added_tokens", ()))
+    return plain and added and not any(definition.get(x) for x in ("truncation", "padding"))
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins across white space and lower-cases; words already met are looked up.
+    """Ids of texts by a tokenizer; where word_wise() allows it, words already met are looked up, else whole texts are encoded.
 
-    The lookup is exact for ASCII white space: the tokenizer's normaliser and pre-tokenizer treat each word alike wherever it
-    stands, and a letter or digit and the punctuation after it are always separate tokens.  Words that hold ``<|`` go to the
-    tokenizer as they are, since its special tokens are found before lower-casing.
+    The lookup is exact: white space parts words, a letter or digit and the punctuation after it are always separate tokens, and words
+    that hold ``<|`` go to the tokenizer as they are, since its special tokens are found before lower-casing.  Of words met, two
+    generations of at most `most` are kept; a word of the older one that is met again moves to the younger.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, "rb") as file:
+            definition = file.read()
+        self.tokenizer = Tokenizer.from_buffer(definition)
+        self.by_word = word_wise(json.loads(definition))
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.most = most
 
     def _ids(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}{'H' if self.kind == '<u2' else 'I'}", *ids)
 
     def _learn(self, word: bytes) -> bytes:
-        core = word.rstrip(PUNCTUATION)
-        if len(core) == len(word) or not core[-1:].isalnum() or b"<|" in word:
-            found = self._ids(word)
-        else:
-            found = b""
-            for part in (core, word[len(core) :]):
-                if (ids := self.known.get(part)) is None:
-                    ids = self.known[part] = self._ids(part)
-                found += ids
+        if (found := self.older.get(word)) is None:
+            core = word.rstrip(PUNCTUATION)
+            if len(core) == len(word) or not core[-1:].isalnum() or b"<|" in word:
+                found = self._ids(word)
+            else:
+                found = b"".join([self.known.get(part) or self._learn(part) for part in (core, word[len(core) :])])
         if len(word) < 64:
             self.known[word] = found
         return found
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a whole UTF-8 text as little-endian unsigned integers."""
+        if not self.by_word:
+            return self._ids(text)
         if len(self.known) > self.most:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         words = (text if b"<|" in text else text.lower()).split()
         get, learn = self.known.get, self._learn
         return b"".join([get(w) or learn(w) for w in words])
@@ -85,10 +106,15 @@ def encoder(path: str) -> WordEncoder:
 def write(df: DataFrame, folder: str, tokenizer: str, end_id: int, *, id_col: str = "doc_id", text: str = "text", n_shards: int | None = None) -> list[dict]:
     """Write all rows in ascending id order (null ids first, repeated ids by text); returns the manifest's shards.
 
+    Ids must be whole numbers, as the files hold 64-bit integers; others are refused.  Other columns are ignored, whatever their names;
+    an empty table gives no shards; very long texts are encoded whole.
+
     tokenizer: path of a tokenizers file, there on every executor.  Each document ends with end_id; null and empty texts have only
     that.  Shards are committed by renaming, and a task that runs again writes the same bytes.
     """
     spark = df.sparkSession
+    if dict(df.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must hold whole numbers, not {dict(df.dtypes)[id_col]}")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     sorted_rows = rows.repartitionByRange(n_shards or shuffle_partitions(spark), "id", F.xxhash64("text")).sortWithinPartitions("id", "text")
 

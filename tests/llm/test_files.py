@@ -27,6 +27,31 @@ def test_word_lookup_equals_the_tokenizer(spark, sf):
         assert np.frombuffer(own.encode(t.encode()), own.kind).tolist() == plain.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    definition = json.loads(open(PATH).read())
+    assert tokenfiles.word_wise(definition)
+    definition["normalizer"] = None  # cased
+    (tmp_path / "cased.json").write_text(json.dumps(definition))
+    for path in (str(tmp_path / "cased.json"), public_tokenizers.path("byte_bpe_50k.json")):
+        own, plain = tokenfiles.WordEncoder(path), Tokenizer.from_file(path)
+        assert not own.by_word
+        for t in TRICKY:
+            t = t or ""
+            assert np.frombuffer(own.encode(t.encode()), own.kind).tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_generations_of_words(sf):
+    plain, own = Tokenizer.from_file(PATH), tokenfiles.WordEncoder(PATH, most=3)
+    for i in range(40):
+        t = f"the cat{i % 7}, the dog{i % 5}!! a{i % 3}. the"
+        assert np.frombuffer(own.encode(t.encode()), own.kind).tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_ids_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError):
+        tokenfiles.round_trip(spark.createDataFrame([("a", "b")], "doc_id string, text string"), PATH, 2)
+
+
 def test_token_files(spark, sf):
     rows = [(i * 7 % 13, t) for i, t in enumerate(TRICKY)] + [(3, "again"), (3, "again"), (None, "no id"), (-4, "first")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
