@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from augurline.llm import textops
-from augurline.llm.cluster import filesystem, new_file, shared_folder, shuffle_partitions, stored, write_file
+from augurline.llm.cluster import filesystem, joined, new_file, shared_folder, shuffle_partitions, stored, write_file
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -76,7 +76,8 @@ def write(pages: DataFrame, folder: str, *, n_shards: int | None = None, roll_by
 
     Payloads below min_bytes are all responses.  A null html is an empty payload and a null url is ``urn:page:ID``.  Rows with a null
     id come first and are responses, or revisits where a page with an id has the payload.  Of rows with the same id and payload the
-    first is the response.  Other columns are ignored; an empty table gives a manifest without files.
+    first is the response.  Other columns are ignored, whatever their names; an empty table gives a manifest without files.  A very
+    long page is one record; a task holds the batch that Spark gives it, at most 64 MB or one page (spark.sql.execution.arrow.maxBytesPerBatch).
     """
     spark = pages.sparkSession
     n_shards = n_shards or shuffle_partitions(spark)
@@ -89,8 +90,9 @@ def write(pages: DataFrame, folder: str, *, n_shards: int | None = None, roll_by
         at = np.searchsorted(np.array(bounds, np.int64), ids.fillna(np.iinfo(np.int64).min).astype(np.int64), "right")
         return __import__("pandas").Series(at.astype(np.int32))
 
-    groups = slim.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    marks = slim.join(groups, "digest").select("id", "digest", "first").distinct()
+    groups = slim.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    # A payload that a large share of all pages has, such as an empty one, is split.
+    marks = joined(slim.select("id", "digest"), groups, "digest", slim.count()).select("id", "digest", "first").distinct()
     merged = rows.select("id", F.lit(1).alias("kind"), F.unhex(F.sha1(F.col("html").cast("binary"))).alias("digest"), "url", "html", F.lit(None).cast("long").alias("first")).unionByName(
         marks.select("id", F.lit(0).alias("kind"), "digest", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "first")
     )
