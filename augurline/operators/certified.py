@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augurline.functions.checks import positive_integer, probability
+from augurline.functions.checks import at_least, probability
 from augurline.functions.special import t_ppf
 from augurline.operators.hac import checked_panel
 
@@ -363,7 +363,7 @@ def _tested(panel: DataFrame, constraints, alpha, beta, ci_depth, certificate_de
     if not probability(beta, "beta") < probability(alpha, "alpha") < 0.5:
         raise ValueError("0 < beta < alpha < 0.5 is needed")
     for name, value, lowest, highest in (("ci_depth", ci_depth, 0, 64), ("certificate_depth", certificate_depth, 0, 64), ("max_nodes", max_nodes, 1, 1 << 62), ("critical_bits", critical_bits, 8, 128)):
-        if positive_integer(value, name, lowest) > highest:
+        if at_least(value, name, lowest) > highest:
             raise ValueError(f"{name} must be at most {highest}")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -383,13 +383,13 @@ def _tested(panel: DataFrame, constraints, alpha, beta, ci_depth, certificate_de
 
 def reference_test(panel: DataFrame, *, alpha: float = 0.05, beta: float = 0.005, reference: int = 0, ci_depth: int = 16, certificate_depth: int = 20, max_nodes: int = 4096, critical_bits: int = 40) -> DataFrame:
     """Decisions at one family level, the coefficient's set from the F ratio of one reference column."""
-    positive_integer(reference, "reference", 0)
+    at_least(reference, "reference", 0)
     return _tested(panel, lambda columns, share: (reference_constraints(columns[reference], share, critical_bits), False), alpha, beta, ci_depth, certificate_depth, max_nodes, critical_bits)
 
 
 def multiscale_test(panel: DataFrame, *, alpha: float = 0.05, beta: float = 0.005, max_dimension: int = 8, block_lengths: Sequence[int] = (4, 16, 64), ci_depth: int = 16, certificate_depth: int = 20, max_nodes: int = 4096, critical_bits: int = 40) -> DataFrame:
     """Decisions at one family level, the coefficient's set from determinant ratios of the first columns over several block lengths."""
-    lengths = [positive_integer(v, "block_length", 2) for v in block_lengths]
-    if not lengths or len(set(lengths)) != len(lengths) or positive_integer(max_dimension, "max_dimension") > 8:
+    lengths = [at_least(v, "block_length", 2) for v in block_lengths]
+    if not lengths or len(set(lengths)) != len(lengths) or at_least(max_dimension, "max_dimension") > 8:
         raise ValueError("distinct block lengths and a max_dimension of at most 8 are needed")
     return _tested(panel, lambda columns, share: multiscale_constraints(columns[:max_dimension], lengths, share, critical_bits), alpha, beta, ci_depth, certificate_depth, max_nodes, critical_bits)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from augurline.functions.checks import finite, positive_integer, probability
+from augurline.functions.checks import at_least, finite, probability
 
 INTERVALS = "series_id string, t long, actual double, predicted double, kind string, lower double, upper double, miss boolean, rate double, quantile double, new_quantile double"
 
@@ -143,7 +143,7 @@ class MultiStepConformal:
     predicted_at: int | None = None
 
     def __post_init__(self):
-        self.leads = tuple(positive_integer(v, "lead") for v in self.leads)
+        self.leads = tuple(at_least(v, "lead") for v in self.leads)
         if not self.leads or any(a >= b for a, b in zip(self.leads[:-1], self.leads[1:], strict=True)):
             raise ValueError("leads must rise strictly")
         probability(self.alpha, "alpha")
@@ -285,8 +285,12 @@ def multistep_intervals(series: DataFrame, points: DataFrame, leads: Sequence[in
     return joined.groupBy("series_id").applyInPandas(run, MULTI)
 
 
-def interval_summary(rows: DataFrame, alpha: float) -> DataFrame:
-    """Per series and lead of MULTI rows: counts, coverage, shares, width and mean interval score with its status."""
+def interval_summary(rows: DataFrame, alpha: float, rules: Mapping | None = None) -> DataFrame:
+    """Per series and lead of MULTI rows: counts, coverage, shares, width and mean interval score with its status.
+
+    With the rules of the intervals (step, decay, lanes) there is also the bound of the coverage error that they guarantee, at most 1
+    and null without feedback.
+    """
     done, is_kind = F.col("actual").isNotNull(), lambda k: F.col("kind") == k
     width = F.col("upper") - F.col("lower")
     score = width + (2.0 / alpha) * (F.greatest(F.col("lower") - F.col("actual"), F.lit(0.0)) + F.greatest(F.col("actual") - F.col("upper"), F.lit(0.0)))
@@ -296,7 +300,24 @@ def interval_summary(rows: DataFrame, alpha: float) -> DataFrame:
         F.count_if(done & is_kind("empty")).alias("e"), F.count_if(done & is_kind("unbounded")).alias("u"), F.avg(F.when(done & is_kind("finite"), score)).alias("s"),
     )
     status = F.when(F.col("evaluated") == 0, "no feedback").when(F.col("e") > 0, "empty intervals").when(F.col("u") > 0, "unbounded intervals").otherwise("ok")
-    return g.withColumn("score_status", status).withColumn("mean_interval_score", F.when(F.col("score_status") == "ok", F.col("s"))).drop("e", "u", "s")
+    g = g.withColumn("score_status", status).withColumn("mean_interval_score", F.when(F.col("score_status") == "ok", F.col("s"))).drop("e", "u", "s")
+    return g if rules is None else g.join(coverage_bounds(rows, rules), ["series_id", "lead_time"], "left")
+
+
+def coverage_bounds(rows: DataFrame, rules: Mapping) -> DataFrame:
+    """(series_id, lead_time, coverage_bound) of MULTI rows with feedback, for one step of all leads."""
+    step, decay = float(rules.get("step", 0.05)), float(rules.get("decay", 0.0))
+    done = rows.where("actual is not null")
+    eta = lambda j: F.lit(step) * F.pow(j, F.lit(-decay))
+    if rules.get("lanes", "pooled") == "pooled":
+        n = done.groupBy("series_id", "lead_time").agg(F.count(F.lit(1)).alias("n"))
+        first = F.aggregate(F.expr("sequence(1L, least(lead_time, n))"), F.lit(0.0), lambda a, j: a + eta(j))
+        bound = (1 + first) / (F.col("n") * eta(F.col("n")))
+    else:
+        lanes = done.groupBy("series_id", "lead_time", (F.col("origin") % F.col("lead_time")).alias("lane")).agg(F.count(F.lit(1)).alias("k"))
+        n = lanes.groupBy("series_id", "lead_time").agg(F.sum("k").alias("n"), F.sum((1 + F.lit(step)) / eta(F.col("k"))).alias("s"))
+        bound = F.col("s") / F.col("n")
+    return n.select("series_id", "lead_time", F.least(F.lit(1.0), bound).alias("coverage_bound"))
 
 
 def worst_local_coverage(rows: DataFrame, alpha: float, window: int) -> DataFrame:

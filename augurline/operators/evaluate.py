@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, Window
@@ -18,9 +19,13 @@ def with_losses(test: DataFrame, loss: str = "squared", quantile: float | None =
 
 
 def evaluate(test: DataFrame, loss: str = "squared", quantile: float | None = None) -> DataFrame:
-    """Mean loss of each series, lead and model; leads are never pooled."""
+    """Mean loss of each series, lead and model; leads are never pooled.  Folds of a series with other leads or models than its others fail."""
     scored = with_losses(test, loss, quantile)
-    return scored.groupBy("series_id", "lead_time", "model", "model_ord").agg(F.count(F.lit(1)).alias("n_origins"), F.avg("loss").alias("mean_loss"))
+    cells = scored.groupBy("series_id", "lead_time", "model", "model_ord").agg(F.count(F.lit(1)).alias("n_origins"), F.avg("loss").alias("mean_loss"), F.min("fold").alias("first"), F.max("fold").alias("last"))
+    whole = Window.partitionBy("series_id")
+    same = (F.min("n_origins").over(whole) == F.max("n_origins").over(whole)) & (F.min("first").over(whole) == F.max("first").over(whole)) & (F.min("last").over(whole) == F.max("last").over(whole))
+    checked = F.when(same, F.col("mean_loss")).otherwise(F.raise_error(F.lit("all folds must have the same leads and models")).cast("double"))
+    return cells.select("series_id", "lead_time", "model", "model_ord", "n_origins", checked.alias("mean_loss"))
 
 
 def select_forecaster(series: DataFrame, n_train: int, models: Mapping[str, Callable], *, lead_time: int = 1, step: int = 1, window: int | None = None, loss: str = "squared", quantile: float | None = None) -> DataFrame:
@@ -56,18 +61,31 @@ def overlap_defaults(n: int, lead_time: int, step: int) -> tuple[int, int, bool]
     return lags, min(max(bootstrap.default_block_length(n), overlap), n), overlap - 1 > n - 2
 
 
-def compare_forecasts(test: DataFrame, baseline: str, lead_time: int, *, n_origins: int, step: int, loss: str = "squared", quantile: float | None = None, alpha: float = 0.05, lags: int | None = None, block_length: float | None = None, **options) -> DataFrame:
+def compare_forecasts(test: DataFrame, baseline: str, lead_time: int, *, loss: str = "squared", quantile: float | None = None, alpha: float = 0.05, lags: int | None = None, block_length: float | None = None, **options) -> DataFrame:
     """Bootstrap test that candidates improve on a baseline, with mean losses and the relative improvement (null for a zero loss).
 
-    n_origins and step say what the backtest's folds are; they set the default bandwidths for overlapping leads.
+    A row per series and candidate.  The folds of each series set its default bandwidths for overlapping leads; where they overlap
+    further than its origins reach, that is among the warnings.
     """
-    own_lags, own_block, _ = overlap_defaults(n_origins, lead_time, step)
+    at = test.where(F.col("lead_time") == lead_time)
     panel = improvements(test, baseline, lead_time, loss, quantile)
-    found = bootstrap.test_returns(panel, alpha=alpha, lags=own_lags if lags is None else lags, block_length=own_block if block_length is None else block_length, **options)
-    losses = evaluate(test.where(F.col("lead_time") == lead_time), loss, quantile)
+    origins = at.select("series_id", "origin").distinct()
+    step = F.col("origin") - F.lag("origin").over(Window.partitionBy("series_id").orderBy("origin"))
+    shape = origins.withColumn("step", step).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.min("step").alias("step"))
+    # Bandwidths depend on (n, step) alone, of which series share a few.
+    shapes = sorted(tuple(x) for x in shape.select("n", "step").distinct().collect())
+    parts = []
+    for n, gap in shapes:
+        own_lags, own_block, far = overlap_defaults(n, lead_time, gap or 1)
+        own = panel.join(shape.where((F.col("n") == n) & F.col("step").eqNullSafe(gap)).select(F.col("series_id").alias("panel_id")), "panel_id", "left_semi") if len(shapes) > 1 else panel
+        found = bootstrap.test_returns(own, alpha=alpha, lags=own_lags if lags is None else lags, block_length=own_block if block_length is None else block_length, **options)
+        parts.append(found.withColumn("warnings", F.concat("warnings", F.array(F.lit("forecasts overlap further than the origins reach")))) if far else found)
+    if not parts:
+        raise ValueError(f"the backtest has no forecasts at lead {lead_time}")
+    losses = evaluate(at, loss, quantile)
     base = losses.where(F.col("model") == baseline).select(F.col("series_id").alias("panel_id"), F.col("mean_loss").alias("baseline_loss"))
     own = losses.select(F.col("series_id").alias("panel_id"), F.col("model").alias("name"), "mean_loss")
-    out = found.join(own, ["panel_id", "name"]).join(base, "panel_id").withColumnsRenamed({"name": "model", "mean": "mean_improvement"})
+    out = functools.reduce(DataFrame.unionByName, parts).join(own, ["panel_id", "name"]).join(base, "panel_id").withColumnsRenamed({"name": "model", "mean": "mean_improvement"})
     return out.withColumn("relative_improvement", F.when(F.col("baseline_loss") != 0, F.col("mean_improvement") / F.col("baseline_loss")))
 
 

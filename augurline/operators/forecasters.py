@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from augurline.functions.checks import positive_integer
+from augurline.functions.checks import at_least
 
 Callback = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -46,7 +46,7 @@ class SeasonalNaive:
     period: int
 
     def __post_init__(self):
-        positive_integer(self.period, "period")
+        at_least(self.period, "period")
 
     def columns(self, leads: list[int], window: int | None) -> list[Column]:
         return [F.lag("y", self.period - 1 - (lead - 1) % self.period).over(ordered()) for lead in leads]
@@ -88,7 +88,7 @@ class Autoregression:
 
     def __post_init__(self):
         for lag in self.own():
-            positive_integer(lag, "lag")
+            at_least(lag, "lag")
         if self.ridge < 0:
             raise ValueError("ridge must not be negative")
 
@@ -131,7 +131,7 @@ class Differenced:
     period: int = 1
 
     def __post_init__(self):
-        positive_integer(self.period, "period")
+        at_least(self.period, "period")
 
     def __call__(self, train: np.ndarray, leads: np.ndarray) -> np.ndarray:
         leads, y, p = _integers(leads), np.asarray(train, float), self.period

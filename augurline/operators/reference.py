@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from augurline.functions.checks import positive_integer
+from augurline.functions.checks import at_least
 from augurline.operators.hac import bartlett_mass
 
 LARGEST = 2048
@@ -14,7 +14,7 @@ def ar1_mean_variance(n: int, phi: float) -> float:
     """The variance of the mean of n values."""
     if not abs(phi) < 1:
         raise ValueError("phi must lie inside (-1, 1)")
-    return bartlett_mass(phi, positive_integer(n, "n")) / n
+    return bartlett_mass(phi, at_least(n, "n")) / n
 
 
 def ar1_hac_moments(n: int, phi: float, lags: int) -> tuple[float, float]:
@@ -23,7 +23,7 @@ def ar1_hac_moments(n: int, phi: float, lags: int) -> tuple[float, float]:
     It is the quadratic form x' A x / n with A the kernel matrix centred on both sides, so the mean is tr(A S) / n and the variance
     2 tr(A S A S) / n^2 for covariance S.  n is at most 2048, as these are dense matrices.
     """
-    if positive_integer(n, "n", 2) > LARGEST or not abs(phi) < 1 or not 0 <= lags <= n - 2:
+    if at_least(n, "n", 2) > LARGEST or not abs(phi) < 1 or not 0 <= lags <= n - 2:
         raise ValueError("2 <= n <= 2048, |phi| < 1 and 0 <= lags <= n - 2 are needed")
     gap = np.abs(np.subtract.outer(np.arange(n), np.arange(n)))
     kernel = np.clip(1 - gap / (lags + 1), 0, None)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augurline.functions.checks import positive_integer
+from augurline.functions.checks import at_least
 
 
 @dataclass(frozen=True)
@@ -25,10 +25,10 @@ class Rolling:
 
     def __post_init__(self):
         for name in ("initial", "horizon", "step"):
-            positive_integer(getattr(self, name), name)
-        positive_integer(self.gap, "gap", 0)
+            at_least(getattr(self, name), name)
+        at_least(self.gap, "gap", 0)
         if self.window is not None:
-            positive_integer(self.window, "window")
+            at_least(self.window, "window")
 
     @property
     def leads(self) -> range:

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from augurline.functions.losses import interval_kind, interval_radius, interval_score
-from augurline.operators import bootstrap, certified, conformal, evaluate, hac, portable, sequential, simulate
+from augurline.operators import bootstrap, certified, conformal, evaluate, hac, sequential, simulate
 from augurline.operators.backtest import backtest, from_predictions, rolling_ar1
 from augurline.operators.forecasters import Autoregression, Differenced, Drift, Naive, SeasonalNaive, Windowed
 from augurline.operators.splits import Rolling, rolling_splits
+from augurline.plans import oracle
 from augurline.sources import testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,10 +149,24 @@ def loss_improvements(spark, sf_dir):
     return evaluate.improvements(flag_test(spark, sf_dir), "naive", 1, "absolute")
 
 
-@query()
+def family_columns(names: dict[str, str] | None = None, prefix: str = "") -> str:
+    """The test's columns, doubles rounded, some of them under other names."""
+    names = names or {}
+    return ", ".join([*(r(prefix + c, names.get(c, c)) for c in oracle.FAMILY_DOUBLES), *(f"{prefix}{c} AS {names.get(c, c)}" for c in oracle.FAMILY_OTHERS)])
+
+
+def with_notes(found: DataFrame) -> DataFrame:
+    return found.withColumn("warnings", F.array_join("warnings", "; "))
+
+
+@query(
+    BACK.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", m0 AS (SELECT fold, max(CASE WHEN model = 'naive' THEN abs(actual - forecast) END) AS base FROM b GROUP BY 1), p AS MATERIALIZED (SELECT b.series_id AS panel_id, b.fold AS t, model_ord - 1 AS col, model AS name, base - abs(actual - forecast) AS value FROM b JOIN m0 USING (fold) WHERE model <> 'naive'),
+ {oracle.family_sql(199, resampled=True)}, lo AS (SELECT model, avg(abs(actual - forecast)) AS loss FROM b GROUP BY 1)
+ SELECT {family_columns({'name': 'model', 'mean': 'mean_improvement'}, 'f.')}, {r('own.loss', 'mean_loss')}, {r('bas.loss', 'baseline_loss')}, {r('CASE WHEN bas.loss <> 0 THEN f.mean / bas.loss END', 'relative_improvement')} FROM family f JOIN lo own ON own.model = f.name CROSS JOIN (SELECT loss FROM lo WHERE model = 'naive') bas"""
+)
 def compare_forecasts(spark, sf_dir):
-    n = testdata.daily_revenue(spark, sf_dir).count() - 365
-    return evaluate.compare_forecasts(flag_test(spark, sf_dir), "naive", 1, n_origins=n, step=1, loss="absolute", n_resamples=199).drop("warnings")
+    return with_notes(evaluate.compare_forecasts(flag_test(spark, sf_dir), "naive", 1, loss="absolute", n_resamples=199))
 
 
 @query(BACK5 + f" SELECT series_id, CAST(fold AS INTEGER) AS fold, origin, lead_time, target_index, model, CAST(model_ord AS INTEGER) AS model_ord, {r('actual', 'actual')}, {r('forecast', 'forecast')} FROM b")
@@ -199,17 +214,24 @@ def long_run_variance_default(spark, sf_dir):
     return hac.long_run_variance(panel(spark, sf_dir))
 
 
-@query(GAMMAS + f" SELECT 'weekly' AS panel_id, CAST(col AS INTEGER) AS col, name, n, {r('mean', 'mean')}, {r('se', 'standard_error')}, {r('mean / se', 'statistic')}, {r('mean - 1.959963984540054e0 * se', 'ci_low')}, {r('mean + 1.959963984540054e0 * se', 'ci_high')} FROM x")
+@query(GAMMAS + f" SELECT 'weekly' AS panel_id, CAST(col AS INTEGER) AS col, name, n, {r('mean', 'mean')}, {r('se', 'standard_error')}, {r('mean / se', 'statistic')}, {r('mean - 1.959963984540054e0 * se', 'ci_low')}, {r('mean + 1.959963984540054e0 * se', 'ci_high')}, {r(oracle.normal_tail('(mean / se)'), 'pvalue')} FROM x")
 def infer_mean_hac(spark, sf_dir):
-    return hac.infer_mean(hac.checked_panel(panel(spark, sf_dir)), "hac", 4).drop("pvalue")
+    return hac.infer_mean(hac.checked_panel(panel(spark, sf_dir)), "hac", 4)
+
 
+IID = f"WITH {PANEL}, q AS MATERIALIZED (SELECT CAST(col AS INTEGER) AS col, name, count(*) AS n, avg(value) AS mean, stddev_samp(value) / sqrt(count(*)) AS se FROM p GROUP BY 1, 2), {oracle.student_width('0.025e0', '(SELECT max(n) - 1 FROM q)')} SELECT 'weekly' AS panel_id, col, name, n, {r('mean', 'mean')}, {r('se', 'standard_error')}, {r('mean / se', 'statistic')}, {r('mean - x * se', 'ci_low')}, {r('mean + x * se', 'ci_high')}, {r(oracle.student_tail('(mean / se)', '(n - 1)'), 'pvalue')}"
 
-@query(f"WITH {PANEL} SELECT 'weekly' AS panel_id, CAST(col AS INTEGER) AS col, name, count(*) AS n, {r('avg(value)', 'mean')}, {r('stddev_samp(value) / sqrt(count(*))', 'standard_error')}, {r('avg(value) / (stddev_samp(value) / sqrt(count(*)))', 'statistic')} FROM p GROUP BY 1, 2, 3")
+
+@query(IID + " FROM q CROSS JOIN width")
 def infer_mean_iid(spark, sf_dir):
-    return hac.infer_mean(panel(spark, sf_dir), "iid").drop("pvalue", "ci_low", "ci_high")
+    return hac.infer_mean(panel(spark, sf_dir), "iid")
 
 
-@query()
+@query(
+    f"SELECT *, 'iid' AS method FROM ({IID} FROM q CROSS JOIN width) UNION ALL BY NAME SELECT *, 'hac' AS method FROM ("
+    + GAMMAS.replace("range(5)", "range(CAST(floor(4 * pow((SELECT max(t) + 1 FROM p) / 100e0, 2 / 9e0)) AS BIGINT) + 1)").replace("h / 5e0", "h / (floor(4 * pow(n / 100e0, 2 / 9e0)) + 1)").replace("v AS (SELECT col, sum(", "v AS (SELECT g.col, sum(").replace("FROM g GROUP BY 1), x", "FROM g JOIN m USING (col) GROUP BY 1), x")
+    + f" SELECT 'weekly' AS panel_id, CAST(col AS INTEGER) AS col, name, n, {r('mean', 'mean')}, {r('se', 'standard_error')}, {r('mean / se', 'statistic')}, {r('mean - 1.959963984540054e0 * se', 'ci_low')}, {r('mean + 1.959963984540054e0 * se', 'ci_high')}, {r(oracle.normal_tail('(mean / se)'), 'pvalue')} FROM x)"
+)
 def mean_pvalues(spark, sf_dir):
     p = panel(spark, sf_dir)
     return hac.infer_mean(p, "hac").withColumn("method", F.lit("hac")).unionByName(hac.infer_mean(p, "iid").withColumn("method", F.lit("iid")))
@@ -231,31 +253,33 @@ def fit_equicorrelated(spark, sf_dir):
     return hac.fit_equicorrelated(panel(spark, sf_dir))
 
 
-@query(f"WITH {PANEL}, w AS (SELECT col, name, CASE WHEN t = 0 THEN sqrt(0.91e0) ELSE 0.7e0 END AS x, CASE WHEN t = 0 THEN sqrt(0.91e0) * value ELSE value - 0.3e0 * lag(value) OVER (PARTITION BY col ORDER BY t) END AS y FROM p), g AS (SELECT col, name, count(*) AS n, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM w GROUP BY 1, 2) SELECT 'weekly' AS panel_id, CAST(col AS INTEGER) AS col, name, n, {r('xy / xx', 'mean')}, {r('(xy / xx) / sqrt((yy - xy * xy / xx) / (n - 1) / xx)', 'statistic')} FROM g")
+@query(f"WITH {PANEL}, w AS (SELECT col, name, CASE WHEN t = 0 THEN sqrt(0.91e0) ELSE 0.7e0 END AS x, CASE WHEN t = 0 THEN sqrt(0.91e0) * value ELSE value - 0.3e0 * lag(value) OVER (PARTITION BY col ORDER BY t) END AS y FROM p), g AS (SELECT col, name, count(*) AS n, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM w GROUP BY 1, 2) SELECT 'weekly' AS panel_id, CAST(col AS INTEGER) AS col, name, n, {r('xy / xx', 'mean')}, {r('(xy / xx) / sqrt((yy - xy * xy / xx) / (n - 1) / xx)', 'statistic')}, {r(oracle.student_tail('((xy / xx) / sqrt((yy - xy * xy / xx) / (n - 1) / xx))', '(n - 1)'), 'pvalue')} FROM g")
 def known_phi_t(spark, sf_dir):
-    return hac.known_phi_t(panel(spark, sf_dir), 0.3).drop("pvalue")
+    return hac.known_phi_t(panel(spark, sf_dir), 0.3)
 
 
-BOOT = f"""{GAMMAS}, d AS (SELECT b, pos, n, ((b * 1000003 + pos + 1) * 48271) % 2147483647 AS u FROM (SELECT unnest(range(60)) AS b), (SELECT t AS pos, (SELECT max(t) + 1 FROM p) AS n FROM p WHERE col = 0)),
- d1 AS (SELECT *, (u * 69621 + 7) % 2147483647 AS v FROM d), d2 AS (SELECT *, last_value(CASE WHEN pos = 0 OR u * 12 < 2147483647 THEN pos * 2147483647 + v % n END IGNORE NULLS) OVER (PARTITION BY b ORDER BY pos ROWS UNBOUNDED PRECEDING) AS l FROM d1),
- d3 AS MATERIALIZED (SELECT b, pos, (l % 2147483647 + pos - l // 2147483647) % n AS idx FROM d2)"""
+STREAM = f"WITH RECURSIVE {PANEL}, {oracle.stream_sql(5, 60, '(SELECT count(*) FROM p WHERE col = 0)', '12')}"
 
 
-@query(BOOT + " SELECT 'weekly' AS panel_id, b, pos, idx FROM d3")
+@query(STREAM + " SELECT b, pos, idx FROM draws")
 def bootstrap_indices(spark, sf_dir):
-    return portable.draws(panel(spark, sf_dir), 60, 12)
+    """The rows that each draw takes, as the operators make them."""
+    n = F.count_if(F.col("col") == 0).alias("n")
+    return bootstrap.index_table(panel(spark, sf_dir).agg(n), 60, 12, 5)
 
 
-@query(BOOT + f" SELECT 'weekly' AS panel_id, b, CAST(col AS INTEGER) AS col, name, {r('avg(e)', 'mean')} FROM d3 JOIN e ON e.t = d3.idx GROUP BY 1, 2, 3, 4")
+@query(STREAM + f", e AS (SELECT col, name, t, value - avg(value) OVER (PARTITION BY col) AS e FROM p) SELECT 'weekly' AS panel_id, b, CAST(col AS INTEGER) AS col, {r('1e3 * avg(e)', 'mean')} FROM draws JOIN e ON e.t = draws.idx GROUP BY 1, 2, 3")
 def bootstrap_means(spark, sf_dir):
-    return portable.means(panel(spark, sf_dir), 60, 12)
+    """Centred means of each draw, in units of a thousandth: the draws' statistics times the standard errors."""
+    p = panel(spark, sf_dir)
+    se = hac.long_run_variance(p, 4).select("col", F.sqrt(F.col("lrv") / F.col("n")).alias("se"))
+    return bootstrap.draws(p, n_resamples=60, block_length=12, lags=4, seed=5).join(se, "col").select("panel_id", "b", "col", (1000 * F.col("statistic") * F.col("se")).alias("mean"))
 
 
-@query(BOOT + f", a AS (SELECT b, e.col, avg(e.e) / max(x.se) AS s FROM d3 JOIN e ON e.t = d3.idx JOIN x ON x.col = e.col GROUP BY 1, 2), a2 AS (SELECT *, max(s) OVER (PARTITION BY b) AS top, max(s) OVER (PARTITION BY b ORDER BY col) AS nested FROM a) SELECT 'weekly' AS panel_id, CAST(a2.col AS INTEGER) AS col, x.name, {', '.join(r(f'(1 + sum(CAST({c} >= x.mean / x.se AS INTEGER))) / 61e0', n) for c, n in (('s', 'marginal_pvalue'), ('top', 'adjusted_pvalue'), ('nested', 'nested_pvalue')))} FROM a2 JOIN x USING (col) GROUP BY 1, 2, 3")
+@query(f"WITH RECURSIVE {PANEL}, {oracle.family_sql(60, seed=5, block='12', lags='4')} SELECT 'weekly' AS panel_id, k AS n_columns, {r('(1 + sum(CAST(top >= (SELECT max(stat) FROM o WHERE col < k) AS INTEGER))) / 61e0', 'global_pvalue')} FROM (SELECT b, k, max(s) AS top FROM st JOIN (SELECT unnest(range(1, 6)) AS k) ON col < k GROUP BY 1, 2) GROUP BY 1, 2")
 def bootstrap_family(spark, sf_dir):
-    p = panel(spark, sf_dir)
-    v = hac.long_run_variance(p, 4).withColumn("standard_error", F.sqrt(F.col("lrv") / F.col("n")))
-    return portable.family(p, v.withColumn("statistic", F.col("mean") / F.col("standard_error")), 60, 12)
+    """Nested families: the global p-value of the first column, the first two, and so on, from one set of draws."""
+    return bootstrap.nested_families(panel(spark, sf_dir), n_resamples=60, block_length=12, lags=4, seed=5)
 
 
 @query(f"WITH {PANEL}, e AS (SELECT col, name, t, value - avg(value) OVER (PARTITION BY col) AS e, count(*) OVER (PARTITION BY col) AS n FROM p), cv AS (SELECT a.col, a.name, a.n, (b.t - a.t + a.n) % a.n AS h, sum(a.e * b.e) / a.n AS c FROM e a JOIN e b ON a.col = b.col GROUP BY 1, 2, 3, 4) SELECT 'weekly' AS panel_id, CAST(col AS INTEGER) AS col, name, {r('1000 * sum(CASE WHEN h = 0 THEN c ELSE 2 * (1 - h / CAST(n AS DOUBLE)) * pow(1 - 1 / 12e0, h) * c END) / max(n)', 'variance')} FROM cv GROUP BY 1, 2, 3")
@@ -263,14 +287,14 @@ def bootstrap_mean_variance(spark, sf_dir):
     return bootstrap.mean_variance(panel(spark, sf_dir), 12).withColumn("variance", 1000 * F.col("variance"))
 
 
-@query()
+@query(f"WITH RECURSIVE {PANEL}, {oracle.family_sql(499, complete=True)} SELECT {family_columns()} FROM family")
 def audit_fixed(spark, sf_dir):
-    return bootstrap.audit(panel(spark, sf_dir), n_resamples=499, studentization="fixed", search_complete=True).drop("warnings")
+    return with_notes(bootstrap.audit(panel(spark, sf_dir), n_resamples=499, studentization="fixed", search_complete=True))
 
 
-@query()
+@query(f"WITH RECURSIVE {PANEL}, {oracle.family_sql(499, resampled=True)} SELECT {family_columns()} FROM family")
 def test_returns_resampled(spark, sf_dir):
-    return bootstrap.test_returns(panel(spark, sf_dir), n_resamples=499).drop("warnings")
+    return with_notes(bootstrap.test_returns(panel(spark, sf_dir), n_resamples=499))
 
 
 @query()
@@ -331,20 +355,33 @@ def worst_local_coverage(spark, sf_dir):
     return conformal.worst_local_coverage(rows, 0.1, 50)
 
 
+LEADS = (1, 2, 6)
+MULTI_RULES = {"alpha": 0.1, "step": 0.1, "decay": 0.5, "scales": (40.0, 42.0, 45.0), "scale_mode": "blended", "scale_decay": 0.9, "share_weights": (0.0, 0.5, 1.0), "lanes": "interlaced"}
+ISSUED = f"WITH RECURSIVE {EVENTS}, {oracle.multistep_sql(LEADS, MULTI_RULES['scales'], MULTI_RULES['share_weights'], alpha=0.1, step=0.1, decay=0.5, keep=0.9)}"
+MULTI_DOUBLES = ("predicted", "lower", "upper", "quantile", "scale", "actual", "rate", "new_quantile")
+
+
 def multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = testdata.event_counts(spark, sf_dir)
-    points = s.select("series_id", F.col("t").alias("origin"), F.explode(F.array(*(F.lit(v).cast("long") for v in (1, 2, 6)))).alias("lead_time"), F.col("y").alias("predicted"))
-    return conformal.multistep_intervals(s, points, (1, 2, 6), {"alpha": 0.1, "step": 0.1, "decay": 0.5, "scales": (40.0, 42.0, 45.0), "scale_mode": "blended", "scale_decay": 0.9, "share_weights": (0.0, 0.5, 1.0), "lanes": "interlaced"})
+    points = s.select("series_id", F.col("t").alias("origin"), F.explode(F.array(*(F.lit(v).cast("long") for v in LEADS))).alias("lead_time"), F.col("y").alias("predicted"))
+    return conformal.multistep_intervals(s, points, LEADS, MULTI_RULES)
 
 
-@query()
+@query(f"{ISSUED} SELECT series_id, origin, target_index, lead_time, kind, CAST(miss AS DOUBLE) AS miss, CAST(n_updates AS DOUBLE) AS n_updates, {', '.join(r(c, c) for c in MULTI_DOUBLES)} FROM issued")
 def multistep_intervals(spark, sf_dir):
-    return multi(spark, sf_dir)
+    """All intervals; those without feedback have no miss and no update."""
+    return multi(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in ("miss", "n_updates")})
 
 
-@query()
+@query(
+    f"""{ISSUED}, sm AS (SELECT *, upper - lower AS width, upper - lower + 20e0 * (greatest(lower - actual, 0e0) + greatest(actual - upper, 0e0)) AS score FROM issued),
+ la AS (SELECT series_id, lead_time, sum(1.1e0 / (0.1e0 * pow(k, -0.5e0))) / sum(k) AS bound FROM (SELECT series_id, lead_time, lane, CAST(count(*) AS DOUBLE) AS k FROM issued WHERE actual IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ ag AS (SELECT series_id, lead_time, count(*) AS issued, count(actual) AS evaluated, count(*) - count(actual) AS pending, avg(CASE WHEN actual IS NOT NULL THEN 1 - CAST(miss AS INTEGER) END) AS coverage, avg(CAST(kind = 'empty' AS INTEGER)) AS empty_rate, avg(CAST(kind = 'unbounded' AS INTEGER)) AS unbounded_rate, avg(width) AS finite_width,
+ CASE WHEN count(actual) = 0 THEN 'no feedback' WHEN bool_or(actual IS NOT NULL AND kind = 'empty') THEN 'empty intervals' WHEN bool_or(actual IS NOT NULL AND kind = 'unbounded') THEN 'unbounded intervals' ELSE 'ok' END AS score_status, avg(CASE WHEN actual IS NOT NULL THEN score END) AS score FROM sm GROUP BY 1, 2)
+ SELECT series_id, lead_time, issued, evaluated, pending, score_status, {r('coverage', 'coverage')}, {r('empty_rate', 'empty_rate')}, {r('unbounded_rate', 'unbounded_rate')}, {r('finite_width', 'finite_width')}, {r("CASE WHEN score_status = 'ok' THEN score END", 'mean_interval_score')}, {r('least(1e0, bound)', 'coverage_bound')} FROM ag LEFT JOIN la USING (series_id, lead_time)"""
+)
 def multistep_summary(spark, sf_dir):
-    return conformal.interval_summary(multi(spark, sf_dir), 0.1)
+    return conformal.interval_summary(multi(spark, sf_dir), 0.1, MULTI_RULES)
 
 
 def _pair(a: str, b: str) -> str:
@@ -384,7 +421,10 @@ def monte_carlo_study(spark, sf_dir):
     return simulate.rejection_rates(simulate.study(spark, cells, 40, n_resamples=99))
 
 
-@query()
+SIMULATED = "e AS MATERIALIZED (SELECT panel_id, col, name, t, value - avg(value) OVER (PARTITION BY panel_id, col) AS e, count(*) OVER (PARTITION BY panel_id, col) AS n, avg(value) OVER (PARTITION BY panel_id, col) AS mean FROM p), g AS MATERIALIZED (SELECT a.panel_id, a.col, a.name, max(a.n) AS n, max(a.mean) AS mean, h, sum(a.e * b.e) / max(a.n) AS gamma FROM e a CROSS JOIN (SELECT unnest(range(5)) AS h) JOIN e b ON a.panel_id = b.panel_id AND a.col = b.col AND b.t = a.t - h GROUP BY a.panel_id, a.col, a.name, h), f AS MATERIALIZED (SELECT panel_id, col, name, max(n) AS n, max(mean) AS mean, max(CASE WHEN h = 1 THEN gamma END) / max(CASE WHEN h = 0 THEN gamma END) AS phi, sum(CASE WHEN h = 0 THEN gamma ELSE 2 * (1 - h / 5e0) * gamma END) AS lrv FROM g GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {oracle.simulated_sql(20, 64, 3, seed=7, phi=0.4, cross=0.2)}, {SIMULATED}, cr AS (SELECT panel_id, avg(c) AS rho FROM (SELECT a.panel_id, a.col, b.col AS other, corr(a.value, b.value) AS c FROM p a JOIN p b ON a.panel_id = b.panel_id AND a.t = b.t AND a.col <> b.col GROUP BY 1, 2, 3) GROUP BY 1) SELECT panel_id, {r('avg(phi)', 'phi')}, {r('greatest(0e0, least(1e0, max(rho)))', 'rho')} FROM f JOIN cr USING (panel_id) GROUP BY 1")
 def simulated_panels(spark, sf_dir):
     p = simulate.panels(spark, 20, 64, 3, seed=7, phi=0.4, cross_corr=0.2)
     return hac.fit_equicorrelated(p)
@@ -437,6 +477,10 @@ def paired_methods(spark, sf_dir):
     return simulate.paired(simulate.study(spark, [{"n": 64, "k": 4, "phi": 0.6}], 40, n_resamples=99), "iid", "resampled")
 
 
-@query()
+def _mass(n: int) -> str:
+    return f"(1 + 2 * (SELECT sum((1 - h / {n}e0) * pow(phi, h)) FROM (SELECT CAST(unnest(range(1, {n})) AS DOUBLE) AS h)))"
+
+
+@query(f"WITH {oracle.simulated_sql(30, 64, 2, seed=3, phi=0.5, cross=0.0)}, {SIMULATED} SELECT panel_id, CAST(col AS INTEGER) AS col, name, {r(f'mean / sqrt(lrv * {_mass(64)} / {_mass(5)} / n)', 'statistic')} FROM f")
 def tail_statistics(spark, sf_dir):
     return hac.tail_statistics(simulate.panels(spark, 30, 64, 2, seed=3, phi=0.5), 4, "finite_sample")
