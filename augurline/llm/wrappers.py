@@ -1,11 +1,14 @@
 """Main-text extraction by union-free regular-expression inference (page wrappers).
 
-Pages are read as balanced streams of tags and texts.  The pages of a host are aligned one after another into a wrapper: where tags
-repeat, a repeated group is formed; where one side has tags that the other lacks, an optional group; where texts differ, a text slot.
-Wrappers of parts of a host are aligned with each other in the same way, so that tasks can infer them side by side.
-
-A wrapper tells which region of a host's pages holds the article; the region is then read from each page as a whole, without the
-elements that are never article text.
+Pages are read as balanced streams of tags and texts.  The streams of a host are aligned into one wrapper: on each level the runs of
+equal neighbours are matched by name and by which run of that name it is.  A run of several elements makes a repeated group, a run that
+some streams lack an optional group; texts that differ make a slot, and runs whose whole text is the same on all pages are template.
+Alignment adds up counts and compares digests, so it is associative and commutative: a host's wrapper is the same however its pages
+are dealt over tasks, and it takes time in proportion to the streams.
+
+The wrapper decides what is read from a page: the region with the article (the article or main element with the most varying text, or
+the densest block of slots) without its template runs.  Elements that are never article text (menus, forms, scripts) are left out; class
+and id names that say so are believed only where the wrapper finds most of the region's varying text outside of them.
 """
 
 from __future__ import annotations
@@ -35,13 +38,15 @@ CLOSED_BY_BLOCK = frozenset("address article aside blockquote details div dl fie
 CLOSES = {
     "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)),
 }
-FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|popup|modal|overlay|newsletter|subscri\w+|signup|login|comments?|commentlist|disqus|replies|respond|sidebar|side|widget\w*|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|footer|foot|header|masthead|topbar|share|sharing|social|related|recommend\w*|tags|tagcloud|skip|search\w*)(?=$|[\s_-])",
-    re.IGNORECASE,
+# Parts of class and id names: a name is furniture if all its parts are in these two lists and one in the first.
+FURNITURE = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsors sponsored promo promos promotion banner banners cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus replies respond sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar footer header masthead topbar share sharing social related recommended recommendations tags tagcloud skip search".split()
 )
+NEUTRAL = frozenset("top bottom left right primary secondary site page box block section area wrap wrapper container inner outer list lists item items link links bar button buttons slot unit row col form title head posts post mini small large mobile desktop global local main id".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+PARTS = frozenset("li dt dd tr td th option".split())
 DEEPEST = 400
 BLANK = " \t\n\r\f\v"
 
@@ -49,19 +54,28 @@ BLANK = " \t\n\r\f\v"
 class Node:
     __slots__ = ("children", "name", "noise")
 
-    def __init__(self, name: str, noise: bool = False):
+    def __init__(self, name: str, noise: int = 0):
         self.name, self.noise, self.children = name, noise, []
 
 
+def named_furniture(name: str) -> bool:
+    parts = [x for x in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name) if x]
+    parts = [x.lower() for x in parts if not x.isdigit()]
+    return any(x in FURNITURE for x in parts) and all(x in FURNITURE or x in NEUTRAL for x in parts)
+
+
 def element(tag: str, raw: str) -> Node:
-    """A node named by tag and class; noise if tag, class, id or role mark it as page furniture."""
+    """A node named by tag and class; noise is 2 where tag, role or hiding make it page furniture, 1 where only its names say so."""
     of: dict[str, str] = {}
     if raw.strip(" /"):
         for m in ATTRIBUTE.finditer(raw):
             of.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-    marks = f"{of.get('class', '')} {of.get('id', '')}"
-    noise = tag in DROPPED or tag not in ("body", "html", "article", "main") and bool(FURNITURE.search(marks)) or of.get("role", "").lower() in ROLES or "hidden" in of or of.get("aria-hidden") == "true"
-    return Node(".".join([tag, *sorted(of.get("class", "").lower().split())]), noise)
+    noise = 0
+    if tag in DROPPED or of.get("role", "").lower() in ROLES or "hidden" in of or of.get("aria-hidden") == "true":
+        noise = 2
+    elif of and tag not in ("body", "html", "article", "main"):
+        noise = int(any(map(named_furniture, [*of.get("class", "").split(), *of.get("id", "").split()])))
+    return Node(".".join([tag, *sorted(of.get("class", "").lower().split())]) if of else tag, noise)
 
 
 def tree(html: str) -> Node:
@@ -145,177 +159,227 @@ def tree(html: str) -> Node:
     return root
 
 
-# A wrapper node is a list [name, times, noise, slot, items]: times is 1, ? (optional), + or * (repeated); slot counts the characters
-# of its own texts where they differ between pages; same is its text where all pages agree so far, None where they don't.
+# A wrapper of a run is a list with these places.  runs and elements count how often the run and its elements occur, longest is the
+# most elements of one run, pages the pages that have it; chars sums up its own text, same is that text and whole the digest of all text
+# below where all pages agree so far (None where they don't); heads and tails are the digests of the elements that all pages' runs begin
+# and end with, the latter from the end; first and last are the lowest and highest place among its siblings; items are the runs below it
+# by key.
+RUNS, ELEMENTS, LONGEST, PAGES, NOISE, CHARS, SAME, WHOLE, HEADS, TAILS, FIRST, LAST, ITEMS = range(13)
 
 
-def shape(node: Node) -> list:
-    """The wrapper of one page: repeated neighbours are one group, texts are constant so far."""
-    items: list[list] = []
-    text = "".join(c for c in node.children if isinstance(c, str))
-    plain = " ".join(text.split())
+def runs_of(node: Node) -> list[tuple[str, list[Node]]]:
+    """The runs of equal neighbours among a node's elements, with a key each: the name, and how many runs of that name came before."""
+    out: list[tuple[str, list[Node]]] = []
+    seen: Counter[str] = Counter()
+    last = None
     for child in node.children:
         if isinstance(child, str):
             continue
-        own = shape(child)
-        if items and items[-1][0] == own[0]:
-            items[-1] = union(items[-1], own, repeated=True)
-        else:
-            items.append(own)
-    return [node.name, "1", node.noise, 0, plain if len(plain) <= 80 else f"#{xxhash.xxh64_hexdigest(plain)}", len(plain), items]
-
-
-def union(a: list, b: list, repeated: bool = False) -> list:
-    """Two wrappers of equal name in one; repeated: they follow each other on a page."""
-    times = a[1] if a[1] == b[1] else {frozenset("1?"): "?", frozenset("1+"): "+"}.get(frozenset(a[1] + b[1]), "*")
-    if repeated:
-        times = "*" if times in "?*" else "+"
-    same = a[4] if a[4] == b[4] else None
-    slot = a[3] + b[3] + (0 if same is not None else (a[5] if a[4] is not None else 0) + (b[5] if b[4] is not None else 0))
-    return [a[0], times, a[2] and b[2], slot, same, a[5] if same is not None else 0, aligned(a[6], b[6])]
-
-
-def optional(item: list) -> list:
-    return [item[0], {"1": "?", "+": "*"}.get(item[1], item[1]), *item[2:]]
-
-
-def aligned(a: list[list], b: list[list]) -> list[list]:
-    """Align two sequences of items by their names (longest common subsequence); what only one has becomes optional."""
-    if [x[0] for x in a] == [x[0] for x in b]:
-        return [union(x, y) for x, y in zip(a, b, strict=True)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(union(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j >= m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append(optional(a[i]))
-            i += 1
+        if child.name == last:
+            out[-1][1].append(child)
         else:
-            out.append(optional(b[j]))
-            j += 1
-    return fold(out)
+            last = child.name
+            out.append((f"{last}#{seen[last]}", [child]))
+            seen[last] += 1
+    return out
 
 
-def fold(items: list[list], most: int = 60) -> list[list]:
-    """Neighbours of equal name become a repeated group; very long sequences fold all items of a name."""
-    out: list[list] = []
-    for item in items:
-        if out and out[-1][0] == item[0]:
-            out[-1] = union(out[-1], item, repeated=True)
-        else:
-            out.append(item)
-    if len(out) > most:
-        names: dict[str, list] = {}
-        for item in out:
-            names[item[0]] = union(names[item[0]], item, repeated=True) if item[0] in names else optional(item)
-        out = list(names.values())
-    return out
+def digest(parts: list[str]) -> str:
+    parts = [p for p in parts if p]
+    return parts[0] if len(parts) == 1 else xxhash.xxh64_hexdigest("\x1f".join(parts)) if parts else ""
+
 
+def shape(nodes: list[Node], place: int = 0) -> list:
+    """The wrapper of a run of one page."""
+    whole, each = None, []
+    for node in nodes:
+        items = {key: shape(run, k) for k, (key, run) in enumerate(runs_of(node))}
+        plain = " ".join("".join(c for c in node.children if isinstance(c, str)).split())
+        same = plain if len(plain) <= 80 else f"#{xxhash.xxh64_hexdigest(plain)}"
+        own = [1, 1, 1, 1, node.noise, len(plain), same, digest([same, *(i[WHOLE] for i in items.values())]), [], [], place, place, items]
+        each.append(own[WHOLE])
+        whole = own if whole is None else merged(whole, own, True)
+    whole[RUNS], whole[LONGEST], whole[HEADS], whole[TAILS] = 1, len(nodes), each, each[::-1]
+    return whole
 
-def weight(item: list) -> int:
-    """Characters of texts that vary between pages, outside furniture."""
-    return 0 if item[2] else item[3] + sum(map(weight, item[6]))
 
+def common(a: list[str], b: list[str]) -> list[str]:
+    n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a if n == len(a) else a[:n]
 
-def pattern(item: list) -> str:
+
+def merged(a: list, b: list, beside: bool = False) -> list:
+    """Two wrappers of a run in one: of different pages, or of elements beside each other on one page."""
+    items = a[ITEMS]
+    for key, item in b[ITEMS].items():
+        items[key] = merged(items[key], item, beside) if key in items else item
+    return [
+        a[RUNS] + b[RUNS], a[ELEMENTS] + b[ELEMENTS], max(a[LONGEST], b[LONGEST]), max(a[PAGES], b[PAGES]) if beside else a[PAGES] + b[PAGES], min(a[NOISE], b[NOISE]), a[CHARS] + b[CHARS],
+        a[SAME] if a[SAME] == b[SAME] else None, digest([a[WHOLE], b[WHOLE]]) if beside else a[WHOLE] if a[WHOLE] == b[WHOLE] else None,
+        [] if beside else common(a[HEADS], b[HEADS]), [] if beside else common(a[TAILS], b[TAILS]), min(a[FIRST], b[FIRST]), max(a[LAST], b[LAST]), items,
+    ]
+
+
+def ordered_items(item: list) -> list[tuple[str, list]]:
+    return sorted(item[ITEMS].items(), key=lambda x: (x[1][FIRST], x[1][LAST], x[0]))
+
+
+def pattern(item: list, key: str = "#root", parent: int = 1) -> str:
     """The wrapper as a regular expression over tags and text slots."""
-    name, times, _, slot, same, _, items = item
-    inner = ("#TEXT " if slot or same is None else f"{same} " if same else "") + " ".join(map(pattern, items))
-    return f"(<{name}> {inner.strip()} </{name}>){'' if times == '1' else times}"
+    name = key.rpartition("#")[0] or key
+    times = {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[item[RUNS] < parent, item[LONGEST] > 1]
+    inner = ("#TEXT " if item[SAME] is None else f"{item[SAME]} " if item[SAME] else "") + " ".join(pattern(i, k, item[ELEMENTS]) for k, i in ordered_items(item))
+    return f"(<{name}> {inner.strip()} </{name}>){times}"
+
+
+def weight(item: list, words: bool, every: bool = False) -> int:
+    """Characters of texts that vary between pages (or of all texts), outside furniture; words: believe class and id names."""
+    if item[NOISE] >= (1 if words else 2) or not every and item[PAGES] > 1 and item[WHOLE] is not None:
+        return 0
+    own = item[CHARS] if every or item[SAME] is None or item[PAGES] == 1 else 0
+    return own + sum(weight(i, words, every) for i in item[ITEMS].values())
 
 
-def region(item: list) -> list[str]:
-    """The path of names to the region that holds the article: an article or main element, or the densest block of slots."""
+def region(item: list, words: bool, every: bool) -> list[str]:
+    """The path of keys to the run that holds the article: an article or main element, or the densest block of slots."""
     marked: list[tuple[int, list[str]]] = []
+    least = 1 if words else 2
 
     def look(x: list, path: list[str]) -> None:
-        if x[2]:
+        if x[NOISE] >= least:
             return
-        tag = x[0].split(".")[0]
-        if tag in ("article", "main"):
-            marked.append((weight(x), path))
-            if tag == "article":
+        if path and tag_of(path[-1]) in ("article", "main"):
+            marked.append((weight(x, words, every), path))
+            if tag_of(path[-1]) == "article":
                 return
-        for y in x[6]:
-            look(y, [*path, y[0]])
+        for key, y in ordered_items(x):
+            look(y, [*path, key])
 
     look(item, [])
-    articles = [p for p in marked if p[1] and p[1][-1].startswith("article")] or marked
+    articles = [p for p in marked if tag_of(p[1][-1]) == "article"] or marked
     if articles:
         return max(articles, key=lambda p: p[0])[1]
     path: list[str] = []
     while True:
-        total = weight(item)
-        if total == 0 or not item[6]:
+        total = weight(item, words, every)
+        found = [(weight(x, words, every), key, x) for key, x in ordered_items(item) if x[NOISE] < least]
+        if total == 0 or not found:
             return path
-        heaviest = max((x for x in item[6] if not x[2]), key=weight, default=None)
+        heaviest, key, below = max(found, key=lambda x: x[0])
         # stop where the text is spread over blocks, or is the element's own, or is a repeated group
-        if heaviest is None or heaviest[1] in "+*" or weight(heaviest) < 0.7 * total or heaviest[0].split(".")[0] in INLINE | {"p"}:
+        if below[LONGEST] > 1 or heaviest < 0.7 * total or tag_of(key) in INLINE | {"p"}:
             return path
-        item = heaviest
-        path.append(item[0])
+        item = below
+        path.append(key)
 
 
-def blocks_of(node: Node) -> list[str]:
-    """The texts of a region, a string for each block."""
-    out, current = [], []
+def tag_of(key: str) -> str:
+    return re.split(r"[.#]", key, maxsplit=1)[0]
+
+
+def templates(item: list, pages: int, words: bool) -> dict:
+    """The uppermost runs that have the same text on all pages that have them, most pages of the host: {key: digest or runs below}.
+
+    Of a run that varies, the elements that it begins and ends with on all pages are template as well: their numbers are at key "".
+    Items of lists and cells of tables aren't taken apart so.
+    """
+    found = {}
+    for key, x in item[ITEMS].items():
+        if x[NOISE] >= (1 if words else 2) or x[WHOLE] == "":
+            continue
+        often = x[PAGES] >= 3 and 2 * x[PAGES] >= pages
+        if x[WHOLE] is not None:
+            if often:
+                found[key] = x[WHOLE]
+        else:
+            below = templates(x, pages, words)
+            if often and tag_of(key) not in PARTS and (x[HEADS] or x[TAILS]):
+                below[""] = [len(x[HEADS]), len(x[TAILS])]
+            if below:
+                found[key] = below
+    return found
+
+
+def plan(item: list) -> dict:
+    """What a wrapper says about its pages: the region's path, the template runs, and whether class and id names are believed."""
+    every = item[PAGES] == 1 or weight(item, False) == 0
+    path = region(item, True, every)
+    inner = item
+    for key in path:
+        inner = inner[ITEMS][key]
+    words = 10 * weight(inner, True, every) >= weight(inner, False, every)
+    if not words:
+        path = region(item, False, every)
+    return {"path": path, "words": words, "templates": {} if every else templates(item, item[PAGES], words)}
+
+
+def blocks_of(node: Node, item: list, same: dict, words: bool) -> tuple[list[str], list[str]]:
+    """The texts of a region, a string for each block: without template runs, and with them."""
+    out: list[str] = []
+    plain: list[str] = []
+    current: list[tuple[str, bool]] = []
+    least = 1 if words else 2
 
     def flush() -> None:
-        text = " ".join("".join(current).split(None))
+        for texts, kept in ((out, False), (plain, True)):
+            if text := " ".join("".join(c for c, template in current if kept or not template).split(None)):
+                texts.append(text)
         current.clear()
-        if text:
-            out.append(text)
 
-    def walk(x: Node) -> None:
+    def walk(x: Node, item: list, same: dict, template: bool) -> None:
+        keys = {id(n): (key, k, len(run) - 1 - k) for key, run in runs_of(x) for k, n in enumerate(run)} if same else {}
         for child in x.children:
             if isinstance(child, str):
-                current.append(child)
-            elif not child.noise:
-                tag = child.name.split(".")[0]
+                current.append((child, template))
+            elif child.noise < least:
+                key, before, after = keys.get(id(child), (None, 0, 0))
+                below = same.get(key, {})
+                inner = item[ITEMS][key] if below else item
+                if isinstance(below, dict):
+                    heads, tails = below.get("", (0, 0))
+                    fixed = template or before < heads or after < tails
+                else:
+                    fixed, below = template or below == inner[WHOLE], {}
+                tag = tag_of(child.name)
                 if tag == "br":
-                    current.append("\n")
+                    current.append(("\n", False))
                 elif tag in INLINE:
-                    walk(child)
+                    walk(child, inner, below, fixed)
                 else:
                     flush()
-                    walk(child)
+                    walk(child, inner, below, fixed)
                     flush()
 
-    walk(node)
+    walk(node, item, same, False)
     flush()
-    return out
-
-
-def inside(node: Node, path: list[str]) -> list[Node]:
-    """All elements at a path of names, in page order."""
-    now = [node]
-    for name in path:
-        now = [c for x in now for c in x.children if isinstance(c, Node) and c.name == name and not c.noise]
+    return out, plain
+
+
+def inside(root: Node, item: list, path: list[str], same: dict, least: int) -> list[tuple[Node, list, dict]]:
+    """All elements at a path of names, in page order, with their run's wrapper on this page and the template runs below."""
+    now = [(root, item, same)]
+    for key in path:
+        name, below = key.rpartition("#")[0], []
+        for x, of, fixed in now:
+            for own, run in runs_of(x):
+                if run[0].name == name:
+                    down = fixed.get(own, {})
+                    below += [(n, of[ITEMS][own], down if isinstance(down, dict) else {}) for n in run if n.noise < least]
+        now = below
     return now
 
 
-def extract(html: str, path: list[str] | None) -> str:
-    """The article of a page: the wrapper's region, or what a wrapper of this page alone says where the page lacks it."""
+def extract(html: str, wrapper: dict | None) -> str:
+    """The article of a page by its host's plan, or by that of a wrapper of this page alone where the page lacks the region."""
     root = tree(html)
-    found = inside(root, path) if path else []
-    if not found or not any(blocks_of(x) for x in found):
-        found = inside(root, own) if (own := single(root)) else [root]
-    return "\n\n".join(b for x in found for b in blocks_of(x))
-
-
-def single(root: Node) -> list[str]:
-    """The region of a wrapper in which every text counts as a slot."""
-
-    def vary(x: list) -> list:
-        return [x[0], x[1], x[2], x[3] + x[5], None, 0, [vary(y) for y in x[6]]]
-
-    return region(vary(shape(root)))
+    item = shape([root])
+    for what in (wrapper, None):
+        what = what or plan(item)
+        found = [blocks_of(x, own, same, what["words"]) for x, own, same in inside(root, item, what["path"], what["templates"], 1 if what["words"] else 2)]
+        # a region that is template as a whole is still the article
+        if blocks := [b for x, _ in found for b in x] or [b for _, x in found for b in x]:
+            return "\n\n".join(blocks)
+    return "\n\n".join(blocks_of(root, item, {}, True)[1])
 
 
 def host_of(url: str | None) -> str:
@@ -325,35 +389,43 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def infer(pages: DataFrame, parts: int = 64) -> DataFrame:
-    """(host, wrapper, path): one wrapper per host, over all its pages.
+def infer(pages: DataFrame, parts: int = 64, most: int = 200_000) -> DataFrame:
+    """(host, wrapper): one wrapper per host, over all its pages.
 
-    Each task aligns the pages of each host it meets, so a host sends one wrapper per task at most; these are aligned in groups of
-    `parts` places and then together, so that a host with most of all pages meets nowhere as a whole.
+    Each task aligns the pages of each host it meets, so a host sends a wrapper per task, or more where a task's wrappers pass `most`
+    elements; these are aligned in groups of `parts` places and then together, so that a host with most of all pages meets nowhere as a
+    whole.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
-        part = TaskContext.get().partitionId()
+        size, part = 0, TaskContext.get().partitionId()
 
         def send() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([part] * len(held), pa.int32()), pa.array([json.dumps(w) for w in held.values()])], ["host", "part", "wrapper"])
 
         for batch in textops.small_batches(batches, "html"):
             for host, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                host, own = host_of(host), shape(tree(html or ""))
-                held[host] = union(held[host], own) if host in held else own
-            if len(held) > 5000:
-                yield send()
-                held = {}
+                if not html:
+                    continue
+                host, own = host_of(host), shape([tree(html)])
+                if host in held:
+                    held[host] = merged(held[host], own)
+                else:
+                    held[host] = own
+                    size += html.count("<")
+                if size > most:
+                    yield send()
+                    held, size = {}, 0
         if held:
             yield send()
 
     def together(table: pa.Table) -> pa.Table:
-        wrappers = sorted(table.column("wrapper").to_pylist())  # one order, whatever the partitions
-        whole = json.loads(wrappers[0])
-        for other in wrappers[1:]:
-            whole = union(whole, json.loads(other))
+        whole = None
+        for chunk in table.column("wrapper").chunks:
+            for text in chunk:
+                own = json.loads(text.as_py())
+                whole = own if whole is None else merged(whole, own)
         return pa.table([table.column("host").combine_chunks()[:1], pa.array([json.dumps(whole)])], ["host", "wrapper"])
 
     first = pages.mapInArrow(textops.trimmed(local), "host string, part int, wrapper string")
@@ -365,7 +437,8 @@ def articles(pages: DataFrame, salts: int = 32) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html), from its host's wrapper.
 
     Null and empty pages have an empty text; null and broken addresses are one host of their own; a page that its host's region
-    doesn't fit is read by a wrapper of its own.  Repeated rows stay; other columns are ignored; whole pages are read.
+    doesn't fit is read by a wrapper of its own.  Repeated rows stay; other columns are ignored, whatever their names; an empty table
+    gives no rows; whole pages are read, however long.
     """
     rows = pages.select("page_id", "url", "html")
 
@@ -373,18 +446,25 @@ def articles(pages: DataFrame, salts: int = 32) -> DataFrame:
     def host(urls):
         return urls.map(host_of, na_action=None)
 
-    def path(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def plans(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in table:
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([json.dumps(region(json.loads(w))) for w in batch.column("wrapper").to_pylist()])], ["host", "path"])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([json.dumps(plan(json.loads(w))) for w in batch.column("wrapper").to_pylist()])], ["host", "plan"])
 
-    # Stored, so that Spark knows the size: it broadcasts the paths below its own limit, and else the salted hosts spread their pages.
-    paths = stored(infer(rows).mapInArrow(path, "host string, path string"), "wrappers").withColumn("salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
+    # Stored, so that Spark knows the size: it broadcasts the plans below its own limit, and else the salted hosts spread their pages.
+    found = stored(infer(rows).mapInArrow(textops.trimmed(plans), "host string, plan string"), "wrappers").withColumn("salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, dict] = {}
         for batch in textops.small_batches(batches, "html"):
-            texts = [extract(h, json.loads(p) if p else None) if h else "" for h, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            texts = []
+            for page, text in zip(batch.column("html").to_pylist(), batch.column("plan").to_pylist(), strict=True):
+                if text and text not in known:
+                    if len(known) > 200:
+                        known.clear()
+                    known[text] = json.loads(text)
+                texts.append(extract(page, known[text] if text else None) if page else "")
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = dict(rows.dtypes)["page_id"]
     salted = rows.withColumn("host", host("url")).withColumn("salt", F.expr(f"pmod(xxhash64(page_id), {salts}L)"))
-    return salted.join(paths, ["host", "salt"], "left").mapInArrow(textops.trimmed(read), f"page_id {kind}, url string, text string, n_chars long")
+    return salted.join(found, ["host", "salt"], "left").mapInArrow(textops.trimmed(read), f"page_id {kind}, url string, text string, n_chars long")
