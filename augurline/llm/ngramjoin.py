@@ -185,7 +185,7 @@ def verified(dealt: DataFrame, percent: int, n_tasks: int) -> DataFrame:
 
 
 def join(
-    docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90, rare: int = 32, chunk_bytes: int = 8 << 20, chunk: int = 1024, block_bytes: int = 12 << 20, bucket_bytes: int = 48 << 20
+    docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90, rare: int = 32, chunk_bytes: int = 8 << 20, chunk: int = 256, block_bytes: int = 12 << 20, bucket_bytes: int = 48 << 20
 ) -> tuple[bl.Blocks, DataFrame]:
     """Blocks of all rows of docs, and for each row: block, pos, id, n_shingles, component_id, stays.
 

@@ -44,6 +44,52 @@ def plain(rows):
     return c1, n, v, prob, follow
 
 
+def plain_of_order(rows, order):
+    """(log10 probability of a text, all words, probability) by recursion over histories as tuples."""
+    train = [tokens(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    grams = lambda t, k: [(tuple((["<b>"] * order + ["</s>"] + t)[order + i + 2 - k : order + i + 1]), w) for i, w in enumerate(t)]
+    follow = {k: defaultdict(Counter) for k in range(1, order + 1)}
+    for t in train:
+        for k in follow:
+            for h, w in grams(t, k):
+                follow[k][h][w] += 1
+    words = follow[1][()]
+    n = sum(words.values())
+    tally = lambda counts: [0, *(sum(x == r for x in counts) for r in range(1, 7))]
+    d = {k: katz.discounts(tally([c for own in follow[k].values() for c in own.values()])) for k in follow}
+    kept = sum((d[1][c] if c <= 5 else 1) * c for c in words.values())
+    freed = n - kept if n - kept > 1e-9 else 1.0
+
+    def prob(h, w):
+        if not h:
+            return ((d[1][words[w]] if words[w] <= 5 else 1) * words[w] if words[w] else freed) / (kept + freed)
+        own = follow[len(h) + 1].get(h)
+        if own is None:
+            return prob(h[1:], w)
+        lost = sum((1 - d[len(h) + 1][c]) * c for c in own.values() if c <= 5)
+        total = sum(own.values()) + (0 if lost > 1e-12 else 1)
+        if w in own:
+            return (d[len(h) + 1][own[w]] if own[w] <= 5 else 1) * own[w] / total
+        return (lost if lost > 1e-12 else 1) / total / (1 - sum(prob(h[1:], x) for x in own)) * prob(h[1:], w)
+
+    return lambda t: sum(math.log10(prob(h, w)) for h, w in grams(t, order)), words, prob, follow
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_any_order_recurses(spark, order, monkeypatch):
+    monkeypatch.setattr(katz, "HOT_PARTS", 3)
+    rows = corpus(4)
+    _, words, tables, _ = found = katz.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), order=order, block_bytes=9000)
+    score, known, prob, follow = plain_of_order(rows, order)
+    want = Counter((i, round(score(tokens(t)), 6)) for i, t in rows)
+    assert Counter((r["doc_id"], round(r["score"], 6)) for r in found[0].collect()) == want
+    assert sorted(tables) == list(range(2, order + 1))
+    for k, table in tables.items():
+        assert sorted(r["count"] for r in katz.gram_table(table).collect()) == sorted(c for own in follow[k].values() for c in own.values())
+    for h in [*list(follow[order])[:30], ("never", "seen")[: order - 1]]:
+        assert sum(prob(h, w) for w in [*known, "<unknown>"]) == pytest.approx(1, abs=1e-9)
+
+
 def corpus(seed):
     rng = random.Random(seed)
     words = [f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(6000)]
@@ -75,10 +121,10 @@ def test_scores_equal_the_plain_model(spark, seed, monkeypatch):
 
 def test_tables_hold_all_counts(spark):
     rows = corpus(3)
-    _, words, pairs, model = katz.score(spark.createDataFrame(rows, "doc_id long, text string"))
+    _, words, tables, model = katz.score(spark.createDataFrame(rows, "doc_id long, text string"))
     c1, n, v, _, follow = plain(rows)
     assert sorted(r["count"] for r in katz.word_table(words).collect()) == sorted(c1.values())
-    table = katz.pair_table(pairs).collect()
+    table = katz.gram_table(tables[2]).collect()
     assert sorted(r["count"] for r in table) == sorted(c for own in follow.values() for c in own.values())
     assert Counter(Counter(r["history"] for r in table).values()) == Counter(len(own) for own in follow.values())
     assert (model.total, model.distinct) == (n, v)
