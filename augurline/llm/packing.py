@@ -1,16 +1,22 @@
 """Packing into optimal length buckets.
 
 A dynamic programme over the global histogram of sequence lengths chooses the bucket lengths that need the least padding; inside
-each bucket, sequences in a fixed shuffled order fill batches of a token budget.
+each bucket, sequences in a fixed shuffled order fill batches of a token budget.  Lengths are any column: words, or the tokens of token
+files, whose batches pack_files() writes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from augurline.llm.cluster import stored
+from augurline.llm import textops, tokenfiles
+from augurline.llm.cluster import mapped, new_file, stored
 
 WORDS = r"[^ \t\n\x0B\f\r]+"
 
@@ -83,3 +89,42 @@ def pack(df: DataFrame, length: Column, *, id_col: str = "doc_id", max_tokens: i
     return ranked.select(
         F.col("id").alias(id_col), "piece", "start", "n_tokens", "bucket_len", F.expr("rank div per_batch").cast("long").alias("batch"), F.expr("rank % per_batch").cast("long").alias("slot"), (F.col("bucket_len") - F.col("n_tokens")).alias("pad")
     )
+
+
+def pack_files(spark: SparkSession, shards: list[dict], folder: str, **options) -> DataFrame:
+    """Pack the documents of token files (see tokenfiles.write) and write the batches as token files of their own.
+
+    A file per task holds the ids of whole batches, piece after piece and without padding.  Returns a row per piece: doc_id, piece,
+    bucket_len, batch, slot, n_tokens, name (the file) and start (the place of its first id in the file, counted in ids).  Documents
+    are told apart by their place, so null and repeated ids are packed like others.  options: those of pack().
+    """
+    kind = shards[0]["kind"] if shards else "<u2"
+    docs = tokenfiles.read(spark, shards).select(F.struct("start", "doc_id").alias("at"), "n_tokens")
+    packed = pack(docs.withColumn("key", F.col("at.start")).drop("at"), F.col("n_tokens"), id_col="key", **options)
+    ids = tokenfiles.read(spark, shards).select(F.col("start").alias("key"), "doc_id")
+    spans = packed.join(ids, "key").select("doc_id", "piece", "bucket_len", "batch", "slot", "n_tokens", (F.col("key") + F.col("start")).alias("begin"))
+    schema = "doc_id long, piece long, bucket_len long, batch long, slot long, n_tokens long, name string, start long"
+    bases = np.array([s["base"] for s in shards], np.int64)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, at = f"{folder}/batches-{TaskContext.get().partitionId():06d}.ids", 0
+        opened: dict[int, np.ndarray] = {}
+        if (batch := next(batches, None)) is None:
+            return
+        with new_file(name) as out:
+            while batch is not None:
+                starts = []
+                for begin, n in zip(batch.column("begin").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True):
+                    shard = int(np.searchsorted(bases, begin, "right")) - 1
+                    if shard not in opened:
+                        opened[shard] = mapped(f"{shards[shard]['name']}.ids", kind)
+                    first = begin - shards[shard]["base"]
+                    out.write(opened[shard][first : first + n].tobytes())
+                    starts.append(at)
+                    at += n
+                kept = batch.drop_columns(["begin"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([name] * batch.num_rows), pa.array(starts, pa.int64())], [*kept.schema.names, "name", "start"])
+                batch = next(batches, None)
+
+    by_batch = spans.repartition("bucket_len", "batch").sortWithinPartitions("bucket_len", "batch", "slot")
+    return stored(by_batch.mapInArrow(textops.trimmed(task), schema), "packed")

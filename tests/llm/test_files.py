@@ -107,3 +107,32 @@ def test_archives(spark, pages):
     assert small.where("payload_bytes < 1000 and record_type = 'revisit'").count() == 0
     assert small.where("record_type = 'revisit'").count() > 0
     assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_packed_batches_hold_the_tokens(spark, sf):
+    from collections import defaultdict
+
+    from augurline.llm import packing
+
+    rows = [(i * 7 % 13, t) for i, t in enumerate(TRICKY)] + [(3, "again"), (3, "again"), (None, "no id")]
+    rows += [(100 + i, " ".join(["word"] * n)) for i, n in enumerate([1, 5, 40, 41, 300, 65, 64, 63])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shards = tokenfiles.write(df, shared_folder(spark, "test"), PATH, 2, n_shards=3)
+    found = packing.pack_files(spark, shards, shared_folder(spark, "test"), max_tokens=64, n_buckets=4, token_budget=256).collect()
+    tokenizer = Tokenizer.from_file(PATH)
+    want = Counter((doc, tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2])) for doc, t in rows)
+    pieces, batches = defaultdict(dict), defaultdict(list)
+    for r in found:
+        ids = np.frombuffer(read_file(r["name"]), shards[0]["kind"])[r["start"] : r["start"] + r["n_tokens"]]
+        assert r["n_tokens"] <= r["bucket_len"] <= 64
+        pieces[r["doc_id"]].setdefault(r["piece"], []).append(tuple(ids.tolist()))
+        batches[r["bucket_len"], r["batch"]].append((r["slot"], r["name"], r["start"]))
+    for (length, _), slots in batches.items():
+        slots.sort()
+        assert [s[0] for s in slots] == list(range(len(slots))) and len(slots) <= 256 // length
+        assert len({s[1] for s in slots}) == 1 and [s[2] for s in slots] == sorted(s[2] for s in slots)  # a batch is one stretch
+    single = {doc: texts for doc, texts in pieces.items() if sum(d == doc for d, _ in want.elements()) == 1}
+    for doc, own in single.items():
+        assert want[doc, tuple(x for k in sorted(own) for x in own[k][0])] == 1
+    assert sum(r["n_tokens"] for r in found) == sum(len(ids) * n for (_, ids), n in want.items())
+    assert packing.pack_files(spark, [], shared_folder(spark, "test")).count() == 0
