@@ -93,11 +93,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def joined(rows: DataFrame, keyed: DataFrame, key: str, total: int, share: int = 2000) -> DataFrame:
     """Each of rows with the columns of its key in keyed; rows without one go.
 
-    keyed has a row for each key, and n: how many of the `total` rows have that key.  Keys with more than total / share rows, which are
-    fewer than share, are broadcast; the other rows are shuffled, and no task gets more than total / share of them for one key.
+    keyed has a row for each key, and n: how many of the `total` rows have that key; it is written to the shared folder.  Keys with more
+    than total / share rows, which are fewer than share, are broadcast; the other rows are shuffled, and no task gets more than
+    total / share of them for one key.
     """
-    hot = keyed.where(F.col("n") * share > total)
-    cold = keyed.where(F.col("n") * share <= total)
-    often = rows.join(F.broadcast(hot.drop("n")), key)
-    seldom = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.drop("n"), key)
-    return often.unionByName(seldom)
+    keyed = stored(keyed, "keyed")
+    often = F.col("n") * share > total
+    if keyed.where(often).isEmpty():
+        return rows.join(keyed.drop("n"), key)
+    hot = keyed.where(often).drop("n")
+    seldom = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(~often).drop("n"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(seldom)
