@@ -220,3 +220,24 @@ def test_simulation(spark):
     m = simulate.mean_interval(q, ["cell"], "statistic").first()
     assert (m["mean"], m["n"]) == (10, 19) and m["high"] - m["mean"] == pytest.approx(special.t_ppf(0.975, 18) * m["mcse"])
     assert 0 < simulate.replayed(spark, x[:50], lambda v: float(v.mean(axis=0).max()), 20, phi=0.6, rho=0.5) <= 1
+
+
+def test_calibration_cells_and_pairing(spark):
+    from augurline.operators import calibrate
+
+    grid = calibrate.cells("full")
+    assert len([c for c in grid if c["stage"] == "dependence"]) == 5 and len(grid) == 17
+    assessed = sum(len(c["counts"]) for c in grid if c["stage"] != "sensitivity")
+    assert assessed == 19
+    with pytest.raises(ValueError):
+        calibrate.cells("other")
+    small = [c | {"n": 64, "replicates": 6, "k": min(c["k"], 5), "counts": tuple(x for x in c["counts"] if x <= 5) or (5,)} for c in calibrate.cells("quick")]
+    found = calibrate.decisions(spark, small, resamples=39).cache()
+    rows = calibrate.rates(found, small)
+    by = {(r["stage"], r["process"], r["phi"], r["n_columns"], r["delta"], r["block_length"], r["method"]): r["rejections"] for r in rows}
+    for (stage, process, phi, k, delta, block, method), n in by.items():
+        assert n <= by.get((stage, process, phi, k, delta + 1, block, method), 6)  # a larger shift rejects no less
+    assert {r["method"] for r in rows if r["process"] == "gaussian_ar"} == {"iid", "hac", "fixed", "resampled", "oracle"}
+    assert all((r["upper"] is not None) == (r["method"] == "resampled" and r["delta"] == 0 and r["stage"] != "sensitivity") for r in rows)
+    assert calibrate.assessment(rows, "quick") == "smoke only" and calibrate.assessment([{"upper": 0.2}], "full") == "failed"
+    assert calibrate.variance_ratios(found).where("median > 0").count() == sum(len(c["multiples"]) for c in small if c["process"] == "gaussian_ar")

@@ -98,3 +98,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert (tmp_path / "o.csv").read_text().startswith("col,")
     assert cli.run(["test", str(path), "--output", str(path)]) == 2 and "error" in capsys.readouterr().err
     assert cli.run(["test", str(tmp_path / "none.csv"), "--output", str(out)]) == 2
+    assert cli.run(["test", str(path), "--method", "gaussian_ar", "--lags", "3"]) == 2 and "lags" in capsys.readouterr().err
+    assert cli.run(["test", str(path), "--resamples", "49", "--studentization", "fixed"]) == 0 and '"rows"' in capsys.readouterr().out
+    assert cli.run(["audit", str(path), "--output", str(out), "--resamples", "49", "--complete-search", "--studentization", "resampled"]) == 0
+    assert "not stated" not in out.read_text()
