@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -31,8 +31,8 @@ def backtest(series: DataFrame, models: Mapping[str, Callable], rolling: Rolling
     """Forecasts of all models at all folds of all series: COLUMNS, model_ord by the order of the mapping.
 
     series: series_id, t (0, 1, ...), y.  Where every model is a closed form, one window over each series makes all forecasts and
-    nothing leaves the JVM.  Otherwise each series (or each run of folds_per_task folds with the history they need) is a group
-    for the callbacks, which get copies of the training values and the physical lead times.
+    nothing leaves the JVM.  Otherwise each series is a row for the callbacks (or each run of folds_per_task folds with the history they
+    need a group), which get copies of the training values and the physical lead times.
     """
     names = labels(list(models))
     if all(hasattr(m, "columns") for m in models.values()):
@@ -61,31 +61,60 @@ def _closed(series: DataFrame, models: Mapping[str, Callable], rolling: Rolling)
 def _called(series: DataFrame, models: dict[str, Callable], rolling: Rolling, folds_per_task: int | None) -> DataFrame:
     r, leads = rolling, np.array(rolling.leads, np.int64)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        first, y = int(pdf["t"].iloc[0]), pdf["y"].to_numpy(float)
-        series_id, out = pdf["series_id"].iloc[0], []
-        n = int(pdf["n"].iloc[0])
-        folds = range(r.folds(n)) if folds_per_task is None else range(k := int(pdf["chunk"].iloc[0]) * folds_per_task, min(r.folds(n), k + folds_per_task))
-        if not r.folds(n):
-            raise ValueError(f"series {series_id} is too short for one fold")
-        for fold in folds:
-            stop = r.initial + fold * r.step
+    def forecasts(series_id: str, y: np.ndarray, first: int, folds: range) -> tuple:
+        """(series_id, folds, forecasts by fold, model and lead, actuals by fold and lead); y begins at position `first`."""
+        values = np.empty((len(folds), len(models), len(leads)))
+        stops = r.initial + np.arange(folds.start, folds.stop) * r.step
+        for i, stop in enumerate(stops.tolist()):
             train = y[(0 if r.window is None else max(0, stop - r.window)) - first : stop - first]
             for order, (name, model) in enumerate(models.items()):
                 try:
-                    values = np.asarray(model(train.copy(), leads.copy()), float)
-                    if values.shape != leads.shape or not np.isfinite(values).all():
+                    found = np.asarray(model(train.copy(), leads.copy()), float)
+                    if found.shape != leads.shape or not np.isfinite(found).all():
                         raise ValueError("it must return one finite value for each lead time")
                 except Exception as error:
-                    raise RuntimeError(f"model {name!r} failed on series {series_id}, fold {fold}, origin {stop - 1}: {error}") from error
-                for lead, value in zip(leads.tolist(), values.tolist(), strict=True):
-                    out.append((series_id, fold, stop - 1, lead, stop - 1 + lead, name, order, y[stop - 1 + lead - first], value))
-        return pd.DataFrame(out, columns=COLUMNS)
+                    raise RuntimeError(f"model {name!r} failed on series {series_id}, fold {folds[i]}, origin {stop - 1}: {error}") from error
+                values[i, order] = found
+        return series_id, np.arange(folds.start, folds.stop), values, y[stops[:, None] - 1 + leads - first]
+
+    def table(found: list[tuple]) -> pd.DataFrame:
+        """COLUMNS of some series' forecasts, a row for each."""
+        names, (m, k) = np.array(list(models), object), (len(models), len(leads))
+        folds = np.concatenate([f for _, f, _, _ in found])
+        each = np.repeat(folds, m * k)
+        origin = r.initial + each * r.step - 1
+        lead = np.tile(leads, len(folds) * m)
+        order = np.tile(np.repeat(np.arange(m), k), len(folds))
+        ids = np.repeat(np.array([x for x, *_ in found], object), [v.size for _, _, v, _ in found])
+        actual = np.concatenate([np.repeat(a[:, None, :], m, axis=1).ravel() for *_, a in found])
+        return pd.DataFrame(dict(zip(COLUMNS, (ids, each, origin, lead, origin + lead, names[order], order, actual, np.concatenate([v.ravel() for _, _, v, _ in found])), strict=True)))
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for pdf in batches:
+            for series_id, y in zip(pdf["series_id"], pdf["y"], strict=True):
+                if not (n := r.folds(len(y))):
+                    raise ValueError(f"series {series_id} is too short for one fold")
+                held.append(forecasts(series_id, np.asarray(y, float), 0, range(n)))
+                size += held[-1][2].size
+                if size > 100_000:
+                    yield table(held)
+                    held, size = [], 0
+        if held:
+            yield table(held)
+
+    def stretch(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        n, first = r.folds(int(pdf["n"].iloc[0])), int(pdf["chunk"].iloc[0]) * folds_per_task
+        if not n:
+            raise ValueError(f"series {pdf['series_id'].iloc[0]} is too short for one fold")
+        return table([forecasts(pdf["series_id"].iloc[0], pdf["y"].to_numpy(float), int(pdf["t"].iloc[0]), range(first, min(n, first + folds_per_task)))])
 
-    sized = series.join(series.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")), "series_id")
     if folds_per_task is None:
-        return sized.groupBy("series_id").applyInPandas(run, SCHEMA)
+        # a series is a row, so one call of Python serves many
+        lines = series.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("cells"))
+        return lines.select("series_id", F.col("cells.y").alias("y")).mapInPandas(whole, SCHEMA)
+    sized = series.join(series.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")), "series_id")
     folds = F.expr(f"(n - {r.gap + r.horizon + r.initial}) div {r.step} + 1")
     chunks = F.expr(f"greatest(0L, ceil(folds / {folds_per_task}D) - 1)")
     # a row goes to the runs of folds whose first training position and last target enclose it
@@ -94,7 +123,7 @@ def _called(series: DataFrame, models: dict[str, Callable], rolling: Rolling, fo
     high = F.col("last") if r.window is None else F.least(F.col("last"), F.expr(f"floor((t - {r.initial - r.window}) / {span}D)"))
     dealt = sized.withColumn("folds", folds).withColumn("last", chunks).withColumn("low", low).withColumn("high", F.greatest(high, F.lit(0).cast("long")))
     dealt = dealt.where("low <= high").withColumn("chunk", F.explode(F.expr("sequence(cast(low as long), cast(high as long))"))).where("chunk <= last")
-    return dealt.select("series_id", "t", "y", "n", "chunk").groupBy("series_id", "chunk").applyInPandas(run, SCHEMA)
+    return dealt.select("series_id", "t", "y", "n", "chunk").groupBy("series_id", "chunk").applyInPandas(stretch, SCHEMA)
 
 
 def from_predictions(series: DataFrame, predictions: DataFrame, splits: DataFrame) -> DataFrame:
