@@ -228,6 +228,28 @@ class MultiStepConformal:
         self.own, self.source, self.scales, self.next_time = own, source, scales, time + 1
         return updates
 
+    def lane_state(self, lead: int, origin: int = 0) -> dict:
+        """Threshold, updates and misses of the lane that an origin of a lead belongs to."""
+        own = self.state.get(self.lane(self.leads.index(lead), origin), Lane(self.initial_quantile))
+        return {"quantile": own.q, "n": own.n, "misses": own.misses}
+
+    def to_dict(self) -> dict:
+        """The whole tracker in plain values, which JSON can hold; from_dict() goes on where it stopped."""
+        settings = {k: getattr(self, k) for k in ("leads", "alpha", "step", "decay", "initial_quantile", "lanes", "scale_mode", "scale_decay", "floors", "start", "next_time", "predicted_at", "scales", "own", "source", "ratios")}
+        return settings | {
+            "share_weights": self.share_weights if self.scale_mode == "blended" else None,
+            "state": [[*key, lane.q, lane.n, lane.misses] for key, lane in sorted(self.state.items())],
+            "pending": [[target, [[k, list(row)] for k, row in rows]] for target, rows in sorted(self.pending.items())],
+        }
+
+    @classmethod
+    def from_dict(cls, held: Mapping) -> MultiStepConformal:
+        made = cls(**{k: held[k] for k in ("leads", "alpha", "step", "decay", "scales", "initial_quantile", "lanes", "scale_mode", "scale_decay", "floors", "share_weights", "start")})
+        made.own, made.source, made.ratios, made.next_time, made.predicted_at = list(held["own"]), held["source"], list(held["ratios"]), held["next_time"], held["predicted_at"]
+        made.state = {(k, lane): Lane(q, n, misses) for k, lane, q, n, misses in held["state"]}
+        made.pending = {target: [(k, tuple(row)) for k, row in rows] for target, rows in held["pending"]}
+        return made
+
     def summary(self) -> list[dict]:
         """Per lead: updates, misses, coverage and its bound (at most 1; null without feedback)."""
         out = []

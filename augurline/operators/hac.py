@@ -6,10 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from augurline.functions.checks import probability
+from augurline.functions.checks import labels, probability
 from augurline.functions.special import normal_ppf, normal_sf, t_ppf, t_sf
 
 
@@ -39,6 +39,22 @@ def panel_of(df: DataFrame, panel: str | None, time: list[str], columns: list[st
     return df.withColumn("panel_id", name).select("panel_id", t.alias("t"), F.explode(cells).alias("c")).select("panel_id", "t", "c.col", "c.name", "c.value")
 
 
+def panel_of_array(spark: SparkSession, values: np.ndarray, names: list[str] | None = None, panel_id: str = "all") -> DataFrame:
+    """An (observations, columns) array, a vector or a pandas frame as a panel; columns without names are strategy_1, strategy_2, ..."""
+    if names is None and hasattr(values, "columns"):
+        names = [str(c) for c in values.columns]
+    x = np.asarray(values, float)
+    x = x[:, None] if x.ndim == 1 else x
+    if x.ndim != 2 or not x.size:
+        raise ValueError("a vector or a table of numbers is needed")
+    names = labels(names or [f"strategy_{k + 1}" for k in range(x.shape[1])])
+    if len(names) != x.shape[1]:
+        raise ValueError("there must be a name for each column")
+    t, col = np.indices(x.shape)
+    cells = pd.DataFrame({"panel_id": panel_id, "t": t.ravel(), "col": col.ravel().astype("int32"), "name": np.array(names, object)[col.ravel()], "value": x.ravel()})
+    return spark.createDataFrame(cells, "panel_id string, t long, col int, name string, value double")
+
+
 def labelled(panel: DataFrame) -> DataFrame:
     """Columns without a name are strategy_1, strategy_2, ..."""
     return panel.withColumn("name", F.coalesce("name", F.concat(F.lit("strategy_"), (F.col("col") + 1).cast("string"))))

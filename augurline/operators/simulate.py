@@ -65,6 +65,17 @@ def panels(spark: SparkSession, replicates: int, n: int, k: int, *, seed: int =
     return spark.range(replicates).mapInPandas(run, "panel_id string, t long, col int, name string, value double")
 
 
+def factor_panel(n: int, k: int, *, phi: float, factor_phi: float, share: float, sigma: float = 1.0, seed: int = 0) -> np.ndarray:
+    """An (n, k) panel of stationary Gaussian AR(1) columns plus a common AR(1) factor with a coefficient of its own.
+
+    share is the factor's part of each column's variance.
+    """
+    if not 0 <= share <= 1 or not abs(phi) < 1 or not abs(factor_phi) < 1:
+        raise ValueError("share must lie in [0, 1] and both coefficients inside (-1, 1)")
+    own, factor = (simulate(n, m, phi=p, seed=seed_of(seed, i)) for i, (m, p) in enumerate(((k, phi), (1, factor_phi))))
+    return sigma * (np.sqrt(share) * factor + np.sqrt(1 - share) * own)
+
+
 def scenario(n: int, kind: str, *, phi: float = 0.6, seed: int = 0) -> np.ndarray:
     """An AR path with constant or changing scale, a break of the coefficient, or Student shocks."""
     rng = np.random.default_rng(seed)

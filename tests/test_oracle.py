@@ -80,3 +80,30 @@ def test_coverage_bound_equals_the_tracker(spark, sf):
         want = {r["lead_time"]: r["coverage_bound"] for r in tracker.summary()}
         got = {r["lead_time"]: r["coverage_bound"] for r in conformal.interval_summary(rows, 0.1, rules).collect()}
         assert got == pytest.approx(want)
+
+
+def test_tracker_goes_on_from_a_snapshot():
+    import json
+
+    rng = np.random.default_rng(6)
+    rules = {"step": 0.1, "decay": 0.3, "scales": (1.0, 2.0), "scale_mode": "blended", "scale_decay": 0.9, "share_weights": (0.0, 0.5), "lanes": "interlaced"}
+    tracker = conformal.MultiStepConformal((1, 4), **rules)
+    for t, y in enumerate(rng.standard_normal(60).cumsum()):
+        if t == 30:
+            other = conformal.MultiStepConformal.from_dict(json.loads(json.dumps(tracker.to_dict())))
+        seen = tracker.observe(t, float(y)), tracker.predict([float(y)] * 2)
+        if t >= 30:
+            assert (other.observe(t, float(y)), other.predict([float(y)] * 2)) == seen
+    assert other.summary() == tracker.summary() and other.lane_state(4, 7) == tracker.lane_state(4, 7)
+
+
+def test_arrays_and_factor_panels(spark):
+    from augurline.operators import hac, simulate
+
+    x = simulate.factor_panel(4000, 3, phi=0.1, factor_phi=0.9, share=0.5, seed=4)
+    panel = hac.panel_of_array(spark, x)
+    fitted = hac.fit_equicorrelated(panel).first()
+    assert fitted["rho"] == pytest.approx(0.5, abs=0.15) and fitted["phi"] == pytest.approx(0.5, abs=0.1)
+    assert [r["name"] for r in panel.where("t = 0").orderBy("col").collect()] == ["strategy_1", "strategy_2", "strategy_3"]
+    with pytest.raises(ValueError):
+        hac.panel_of_array(spark, x, ["a"])
