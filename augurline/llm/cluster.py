@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -86,6 +86,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(address)
 
 
+def measured(df: DataFrame, name: str, *figures: Column) -> tuple[DataFrame, dict]:
+    """As stored(), with figures of the rows (aggregates with an alias), which the writing job itself counts."""
+    seen = Observation()
+    kept = stored(df.observe(seen, *figures), name)
+    return kept, seen.get
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -97,9 +104,9 @@ def joined(rows: DataFrame, keyed: DataFrame, key: str, total: int, share: int =
     than total / share rows, which are fewer than share, are broadcast; the other rows are shuffled, and no task gets more than
     total / share of them for one key.
     """
-    keyed = stored(keyed, "keyed")
+    keyed, figures = measured(keyed, "keyed", F.max("n").alias("most"))
     often = F.col("n") * share > total
-    if keyed.where(often).isEmpty():
+    if (figures["most"] or 0) * share <= total:
         return rows.join(keyed.drop("n"), key)
     hot = keyed.where(often).drop("n")
     seldom = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(~often).drop("n"), key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augurline.llm.cluster import joined, stored
+from augurline.llm.cluster import joined, measured, stored
 
 
 def least_of(edges: DataFrame) -> DataFrame:
@@ -21,18 +21,16 @@ def components(edges: DataFrame) -> DataFrame:
     all edges gets it by a broadcast of the few such hubs, since its edges would else meet in one task.  Loops and repeated edges are
     allowed, edges with a null end are left out, and without edges the result is empty.
     """
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
-    count = now.count()
-    while count:
+    figures = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20, 0)")).alias("sum")
+    now, state = measured(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", *figures)
+    while count := state["n"]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = joined(both, least_of(both), "a", 2 * count).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         large = stored(large, "edges")
         low = least_of(large)
         small = joined(large, low, "a", count).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = stored(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        before, state = state, now.select(F.count(F.lit(1)), F.expr("sum(cast(xxhash64(a, b) as decimal(20, 0)))")).first()
+        before = state
+        now, state = measured(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges", *figures)
         if state == before:
             break
-        count = state[0]
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from augurline.llm import blocks as bl
 from augurline.llm import graph, textops
-from augurline.llm.cluster import joined, shuffle_partitions, stored
+from augurline.llm.cluster import joined, measured, shuffle_partitions, stored
 
 BITS = 48
 U64 = np.uint64
@@ -204,7 +204,7 @@ def join(
     blocks = bl.write(docs, "join", text, block_bytes)
     n_buckets = max(shuffle_partitions(spark), -(-blocks.total_bytes // bucket_bytes))
     n_tasks = max(shuffle_partitions(spark), blocks.count)
-    folder = blocks.folder
+    folder, rows_made = blocks.folder, F.count(F.lit(1)).alias("n")
 
     def sets_of(block: int) -> tuple[pa.Table, list[np.ndarray], np.ndarray]:
         table = bl.load(folder, block).combine_chunks()
@@ -263,9 +263,9 @@ def join(
 
     # Candidates: each node of an entry with the hub of that entry, its smallest node.
     entry = indexed.where("kind = 1").select("entry", "node", "n").distinct()
-    entry = stored(entry, "join-entries")
+    entry, entries_made = measured(entry, "join-entries", rows_made)
     hubs = entry.groupBy("entry").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = stored(joined(entry.withColumnRenamed("n", "size"), hubs, "entry", entry.count()).select("hub", "node", "size").distinct(), "join-stars")
+    stars, stars_made = measured(joined(entry.withColumnRenamed("n", "size"), hubs, "entry", entries_made["n"]).select("hub", "node", "size").distinct(), "join-stars", rows_made)
     place = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("block", "pos")).alias("at"))
 
     def chunks(members: DataFrame, name: str) -> DataFrame:
@@ -296,17 +296,16 @@ def join(
         return located.repartition(n_tasks, "block").sortWithinPartitions("block", "pos").mapInArrow(textops.trimmed(fetch), schema)
 
     # Every chunk of a star has the hub.
-    n_stars = stars.count()
+    n_stars = stars_made["n"]
     starred = joined(stars, chunks(stars, "k"), "hub", n_stars)
     own_chunk = F.expr("if(node = hub, sequence(0, k - 1), array(cast(pmod(xxhash64(node), k) as int)))")
     dealt = starred.select("hub", F.explode(own_chunk).alias("i"), F.lit(0).alias("j"), F.expr("k = 1").alias("whole"), F.lit(0).alias("side"), "node")
     found = stored(verified(with_sets(dealt), percent, n_tasks), "join-links")
 
     # Strays are compared with all nodes of their star.
-    strays = stored(found.where("hub is not null").select("hub", F.col("a").alias("node")).join(stars, ["hub", "node"]), "join-strays")
-    n_strays = strays.count()
+    strays, strays_made = measured(found.where("hub is not null").select("hub", F.col("a").alias("node")).join(stars, ["hub", "node"]), "join-strays", rows_made)
     links = found.where("hub is null").select("a", "b")
-    if n_strays:
+    if strays_made["n"]:
         k_strays = chunks(strays, "s").drop("n")
         counted = chunks(stars, "k").join(k_strays, "hub")
         members = joined(stars, counted, "hub", n_stars)
@@ -320,10 +319,9 @@ def join(
     head = F.struct(F.col("id").isNull().alias("none"), "id", "block", "pos")
     heads = rows.where("node is not null").groupBy("node").agg(F.min(head).alias("head"), F.count(F.lit(1)).alias("copies"))
     rooted = heads.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = stored(rooted, "join-rooted")
-    n_nodes = rooted.count()
+    rooted, nodes_made = measured(rooted, "join-rooted", rows_made)
     tops = rooted.groupBy("root").agg(F.min("head").alias("top"), F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 1").drop("copies")
-    named = joined(rooted.select("node", "root"), tops, "root", n_nodes).select("node", "top")
+    named = joined(rooted.select("node", "root"), tops, "root", nodes_made["n"]).select("node", "top")
     out = rows.join(named, "node", "left").select(
         "block", "pos", "id", F.col("n").alias("n_shingles"), F.when(F.col("top").isNull(), F.col("id")).otherwise(F.col("top.id")).alias("component_id"), (F.col("top").isNull() | ((F.col("top.block") == F.col("block")) & (F.col("top.pos") == F.col("pos")))).alias("stays")
     )

@@ -148,13 +148,13 @@ def test_recomposed_texts_meet_in_small_stars(spark, monkeypatch):
     sentences = [" ".join(f"w{rng.randrange(5000)}" for _ in range(30)) for _ in range(600)]
     rows = [(i, " ".join(rng.sample(sentences, 12))) for i in range(600)]
     kept = {}
-    plain = ngramjoin.stored
-    monkeypatch.setattr(ngramjoin, "stored", lambda df, name: kept.setdefault(name, plain(df, name)))
+    plain = ngramjoin.measured
+    monkeypatch.setattr(ngramjoin, "measured", lambda df, name, *figures: kept.setdefault(name, plain(df, name, *figures)))
     _, found = ngramjoin.join(spark.createDataFrame(rows, "doc_id long, text string"))
     assert all(r["component_id"] == r["id"] for r in found.collect())
-    largest = kept["join-stars"].groupBy("hub").count().selectExpr("max(count)").first()[0]
+    largest = kept["join-stars"][0].groupBy("hub").count().selectExpr("max(count)").first()[0]
     assert largest < 200  # a text shares sentences with some 140 others
-    near = graph.components(kept["join-stars"].selectExpr("hub as a", "node as b"))
+    near = graph.components(kept["join-stars"][0].selectExpr("hub as a", "node as b"))
     assert near.select("root").distinct().count() < 20  # what all pairs of a candidate component would have met
 
 
