@@ -7,12 +7,12 @@ operators (augurline.streaming) keep the same objects as state, so both give the
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from augurline.functions.checks import at_least, finite, probability
@@ -288,21 +288,26 @@ def multistep_intervals(series: DataFrame, points: DataFrame, leads: Sequence[in
     """Replay over each series (series_id, t, y) of the forecasts (series_id, origin, lead_time, predicted): MULTI.
 
     A forecast appears once: with its feedback, or without where its target lies beyond the series.  An origin must have all leads.
+    A series is one task, which reads it in order of time and holds one Arrow batch of it and the tracker.
     """
     leads, options = tuple(leads), dict(options or {})
     wide = points.groupBy("series_id", F.col("origin").alias("t")).agg(F.map_from_entries(F.collect_list(F.struct("lead_time", "predicted"))).alias("at"))
     wide = wide.select("series_id", "t", F.array(*(F.col("at")[F.lit(v)] for v in leads)).alias("points"))
-    joined = series.join(wide, ["series_id", "t"], "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        tracker, out = MultiStepConformal(leads, start=int(pdf["t"].iloc[0]), **options), []
-        for row in pdf.itertuples():
-            out += multi_rows(row.series_id, [], tracker.observe(int(row.t), row.y))
-            if row.points is not None:
-                tracker.predict(list(row.points))
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number isn't coalesced by size: steps are few bytes but much work
+    joined = series.join(wide, ["series_id", "t"], "left").repartition(parts, "series_id").sortWithinPartitions("series_id", "t")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tracker, names = None, [c.split()[0] for c in MULTI.split(", ")]
+        for pdf in frames:
+            out = []
+            for row in pdf.itertuples():
+                tracker = tracker or MultiStepConformal(leads, start=int(row.t), **options)
+                out += multi_rows(row.series_id, [], tracker.observe(int(row.t), row.y))
+                if row.points is not None:
+                    tracker.predict(list(row.points))
+            yield pd.DataFrame(out, columns=names)
         left = [r for target in sorted(tracker.pending) for _, r in tracker.pending[target]]
-        return pd.DataFrame(out + multi_rows(pdf["series_id"].iloc[0], left, []), columns=[c.split()[0] for c in MULTI.split(", ")])
+        yield pd.DataFrame(multi_rows(row.series_id, left, []), columns=names)
 
     return joined.groupBy("series_id").applyInPandas(run, MULTI)
 
@@ -311,35 +316,41 @@ def interval_summary(rows: DataFrame, alpha: float, rules: Mapping | None = None
     """Per series and lead of MULTI rows: counts, coverage, shares, width and mean interval score with its status.
 
     With the rules of the intervals (step, decay, lanes) there is also the bound of the coverage error that they guarantee, at most 1
-    and null without feedback.
+    and null without feedback.  The rows are read once.
     """
+    interlaced = rules is not None and rules.get("lanes", "pooled") != "pooled"
     done, is_kind = F.col("actual").isNotNull(), lambda k: F.col("kind") == k
     width = F.col("upper") - F.col("lower")
     score = width + (2.0 / alpha) * (F.greatest(F.col("lower") - F.col("actual"), F.lit(0.0)) + F.greatest(F.col("actual") - F.col("upper"), F.lit(0.0)))
-    g = rows.groupBy("series_id", "lead_time").agg(
-        F.count(F.lit(1)).alias("issued"), F.count_if(done).alias("evaluated"), F.count_if(~done).alias("pending"), F.avg(F.when(done, (~F.col("miss")).cast("double"))).alias("coverage"),
-        F.avg(is_kind("empty").cast("double")).alias("empty_rate"), F.avg(is_kind("unbounded").cast("double")).alias("unbounded_rate"), F.avg(F.when(is_kind("finite"), width)).alias("finite_width"),
-        F.count_if(done & is_kind("empty")).alias("e"), F.count_if(done & is_kind("unbounded")).alias("u"), F.avg(F.when(done & is_kind("finite"), score)).alias("s"),
+    lane = F.col("origin") % F.col("lead_time") if interlaced else F.lit(0)
+    lanes = rows.groupBy("series_id", "lead_time", lane.alias("lane")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(done).alias("k"), F.count_if(done & ~F.col("miss")).alias("hits"),
+        *(F.count_if(c & is_kind(kind)).alias(kind + name) for kind in ("empty", "unbounded", "finite") for c, name in ((F.lit(True), ""), (done, "_done"))),
+        F.sum(F.when(is_kind("finite"), width)).alias("width"), F.sum(F.when(done & is_kind("finite"), score)).alias("score"),
+    )
+    mean = lambda c, n: F.try_divide(F.sum(c), F.sum(n))
+    g = lanes.groupBy("series_id", "lead_time").agg(
+        F.sum("n").alias("issued"), F.sum("k").alias("evaluated"), (F.sum("n") - F.sum("k")).alias("pending"), mean("hits", "k").alias("coverage"),
+        mean("empty", "n").alias("empty_rate"), mean("unbounded", "n").alias("unbounded_rate"), mean("width", "finite").alias("finite_width"),
+        F.sum("empty_done").alias("e"), F.sum("unbounded_done").alias("u"), mean("score", "finite_done").alias("s"),
+        *([] if rules is None else [coverage_bound(rules, interlaced).alias("coverage_bound")]),
     )
     status = F.when(F.col("evaluated") == 0, "no feedback").when(F.col("e") > 0, "empty intervals").when(F.col("u") > 0, "unbounded intervals").otherwise("ok")
     g = g.withColumn("score_status", status).withColumn("mean_interval_score", F.when(F.col("score_status") == "ok", F.col("s"))).drop("e", "u", "s")
-    return g if rules is None else g.join(coverage_bounds(rows, rules), ["series_id", "lead_time"], "left")
+    return g if rules is None else g.select(*(c for c in g.columns if c != "coverage_bound"), "coverage_bound")
 
 
-def coverage_bounds(rows: DataFrame, rules: Mapping) -> DataFrame:
-    """(series_id, lead_time, coverage_bound) of MULTI rows with feedback, for one step of all leads."""
+def coverage_bound(rules: Mapping, interlaced: bool) -> Column:
+    """The bound of a lead over its lanes, each with k rows with feedback, for one step of all leads; an aggregate by series and lead."""
     step, decay = float(rules.get("step", 0.05)), float(rules.get("decay", 0.0))
-    done = rows.where("actual is not null")
     eta = lambda j: F.lit(step) * F.pow(j, F.lit(-decay))
-    if rules.get("lanes", "pooled") == "pooled":
-        n = done.groupBy("series_id", "lead_time").agg(F.count(F.lit(1)).alias("n"))
-        first = F.aggregate(F.expr("sequence(1L, least(lead_time, n))"), F.lit(0.0), lambda a, j: a + eta(j))
-        bound = (1 + first) / (F.col("n") * eta(F.col("n")))
+    n = F.sum("k")
+    if interlaced:
+        bound = F.sum(F.when(F.col("k") > 0, (1 + F.lit(step)) / eta(F.col("k")))) / n
     else:
-        lanes = done.groupBy("series_id", "lead_time", (F.col("origin") % F.col("lead_time")).alias("lane")).agg(F.count(F.lit(1)).alias("k"))
-        n = lanes.groupBy("series_id", "lead_time").agg(F.sum("k").alias("n"), F.sum((1 + F.lit(step)) / eta(F.col("k"))).alias("s"))
-        bound = F.col("s") / F.col("n")
-    return n.select("series_id", "lead_time", F.least(F.lit(1.0), bound).alias("coverage_bound"))
+        first = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(F.max("lead_time"), n)), F.lit(0.0), lambda a, j: a + eta(j))
+        bound = (1 + first) / (n * eta(n))
+    return F.when(n > 0, F.least(F.lit(1.0), bound))
 
 
 def worst_local_coverage(rows: DataFrame, alpha: float, window: int) -> DataFrame:

@@ -191,3 +191,41 @@ def test_multistep_takes_sparse_origins(spark):
     points = spark.createDataFrame([("s", t, lead, float(p)) for t, p in enumerate(POINTS) if t % 2 == 0 for lead in (1, 2)], "series_id string, origin long, lead_time long, predicted double")
     got = conformal.multistep_intervals(series, points, (1, 2), {"alpha": 0.25, "step": 0.125, "scales": 2.0}).collect()
     assert sorted((r["origin"], r["lead_time"]) for r in got) == [(t, lead) for t in range(0, len(POINTS), 2) for lead in (1, 2)]
+
+
+def resident() -> float:
+    """MB of this process."""
+    import resource
+
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * resource.getpagesize() / 2**20
+
+
+def test_multistep_holds_a_batch_of_a_long_series(spark, monkeypatch):
+    class Watched(conformal.MultiStepConformal):
+        def observe(self, time, actual):
+            if time == 0:
+                self.least = resident()
+            if time % 5000 == 0 and resident() - self.least > 100:
+                raise MemoryError(f"the replay holds more than 100 MB at {time}")
+            return super().observe(time, actual)
+
+    monkeypatch.setattr(conformal, "MultiStepConformal", Watched)
+    n, leads = 150_000, (1, 2, 6)
+    series = spark.range(n).select(F.lit("s").alias("series_id"), F.col("id").alias("t"), F.sin(F.col("id") * 0.7).alias("y"))
+    points = series.select("series_id", F.col("t").alias("origin"), F.explode(F.array(*(F.lit(v).cast("long") for v in leads))).alias("lead_time"), F.col("y").alias("predicted"))
+    rows = conformal.multistep_intervals(series, points, leads, {"decay": 0.5})
+    got = {r["lead_time"]: r for r in conformal.interval_summary(rows, 0.1, {"decay": 0.5}).collect()}
+    assert {lead: (r["issued"], r["evaluated"], r["pending"]) for lead, r in got.items()} == {lead: (n, n - lead, lead) for lead in leads}
+
+
+def test_summary_replays_once(spark):
+    series = spark.createDataFrame([("s", t, float(y)) for t, y in enumerate(ACTUAL)], "series_id string, t long, y double")
+    points = series.selectExpr("series_id", "t as origin", "explode(array(1L, 20L)) as lead_time", "y as predicted")
+    for lanes in ("pooled", "interlaced"):
+        rules = {"step": 0.2, "decay": 0.4, "lanes": lanes}
+        summary = conformal.interval_summary(conformal.multistep_intervals(series, points, (1, 20), rules), 0.1, rules)
+        assert summary._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
+        late = {r["lead_time"]: r for r in summary.collect()}[20]
+        assert (late["issued"], late["evaluated"], late["score_status"]) == (12, 0, "no feedback")
+        assert late["coverage"] is None and late["coverage_bound"] is None and late["mean_interval_score"] is None
