@@ -60,7 +60,7 @@ def write(df: DataFrame, name: str, text: str = "text", most: int = 12 << 20) ->
         if held:
             yield flush()
 
-    listed = stored(df.mapInArrow(textops.trimmed(task), "block long, docs long, bytes long"), f"{name}-list")
+    listed = stored(df.mapInArrow(textops.trimmed(task), "block long, docs long, bytes long"), f"{name}-list", texts=True)
     count, total = listed.selectExpr("count(*)", "coalesce(sum(bytes), 0)").first()
     return Blocks(folder, listed, count, total)
 

@@ -51,6 +51,51 @@ def shingle_sets(column: pa.Array, size: int = 3) -> Iterator[np.ndarray]:
             yield np.unique(runs[n][a : b - n + 1] + U64(n)) if n else np.zeros(0, U64)
 
 
+def flat_sets(column: pa.ChunkedArray, size: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of all texts of a column in one array, and where each begins and the last one ends."""
+    # a shingle for every two bytes at most; memory that isn't written to isn't taken
+    flat = np.empty(sum(len(textops.buffers(c)[0]) + len(c) for c in column.chunks) // 2 + 1, U64)
+    starts = [0]
+    for chunk in column.chunks:
+        for tokens in shingle_sets(chunk, size):
+            starts.append(starts[-1] + len(tokens))
+            flat[starts[-2] : starts[-1]] = tokens
+    return flat[: starts[-1]], np.array(starts)
+
+
+def edges(ascending: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins, and the end of the last one."""
+    edge = np.ones(len(ascending) + 1, bool)
+    np.not_equal(ascending[1:], ascending[:-1], out=edge[1:-1])
+    return np.flatnonzero(edge)
+
+
+def classes_of(rows: list[bl.Row], rare: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(block, class of each of its keys) of a bucket's rows, whose keys and counts are taken out of them.
+
+    A bucket is the largest thing a task holds: three words for a key at a time, not a dozen.
+    """
+    keys = [bl.unpack(r.pop("keys")) for _, _, r in rows]
+    sizes = [len(k) for k in keys]
+    each = np.concatenate(keys)
+    del keys
+    order = np.argsort(each, kind="stable")
+    each = each[order]
+    first = edges(each)
+    del each
+    counts = np.concatenate([bl.unpack(r.pop("counts")).astype(np.uint32) for _, _, r in rows])[order]
+    totals = np.add.reduceat(counts, first[:-1], dtype=U64) if len(counts) else np.zeros(0, U64)
+    del counts
+    kinds = (totals >= 2).astype(np.uint8) + (totals > rare)
+    answer = np.empty(len(order), np.uint8)
+    answer[order] = np.repeat(kinds, np.diff(first))
+    del order, totals, kinds, first
+    at = 0
+    for (_, block, _), n in zip(rows, sizes, strict=True):
+        yield block, answer[at : at + n]
+        at += n
+
+
 def node_of(tokens: np.ndarray) -> bytes:
     """128 bits that name a set."""
     with np.errstate(over="ignore"):
@@ -206,41 +251,35 @@ def join(
     n_tasks = max(shuffle_partitions(spark), blocks.count)
     folder, rows_made = blocks.folder, F.count(F.lit(1)).alias("n")
 
-    def sets_of(block: int) -> tuple[pa.Table, list[np.ndarray], np.ndarray]:
-        table = bl.load(folder, block).combine_chunks()
-        sets = list(shingle_sets(table.column(text), size))
-        return table, sets, np.concatenate([np.zeros(0, U64), *sets]) >> U64(64 - BITS)
-
     def emit(block: int) -> Iterator[tuple[int, dict[str, bytes]]]:
-        keys, counts = np.unique(sets_of(block)[2], return_counts=True)
+        flat, _ = flat_sets(bl.load(folder, block).column(text), size)
+        flat >>= U64(64 - BITS)
+        flat.sort()
+        first = edges(flat)
+        keys, counts = flat[first[:-1]], np.diff(first).astype(np.uint32)
+        del flat, first
         for bucket, a, b in bl.cut(keys, n_buckets, BITS):
             yield bucket, {"keys": bl.pack(keys[a:b], True), "counts": bl.pack(counts[a:b])}
 
     def serve(bucket: int, rows: list[bl.Row]) -> Iterator[tuple[int, dict[str, bytes]]]:
-        keys, counts = [bl.unpack(r["keys"]) for _, _, r in rows], [bl.unpack(r["counts"]) for _, _, r in rows]
-        each = np.concatenate(keys)
-        order = np.argsort(each, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], each[order][1:] != each[order][:-1]])) if len(each) else np.zeros(0, np.int64)
-        totals = np.add.reduceat(np.concatenate(counts)[order], first) if len(each) else np.zeros(0, U64)
-        answer = np.empty(len(each), U64)
-        answer[order] = np.repeat(np.digitize(totals, [2, rare + 1]).astype(U64), np.diff(np.append(first, len(each))))
-        at = 0
-        for (_, block, _), own in zip(rows, keys, strict=True):
-            yield block, {"classes": bl.pack(answer[at : at + len(own)])}
-            at += len(own)
+        for block, classes in classes_of(rows, rare):
+            yield block, {"classes": bl.pack(classes)}
 
     fields = f"kind int, block long, pos int, id {dict(docs.dtypes)[id_col]}, n long, node binary, entry long"
 
     def index(block: int, rows: list[bl.Row]) -> Iterator[pa.RecordBatch]:
-        table, sets, keys = sets_of(block)
-        distinct = np.unique(keys)
-        classes = np.concatenate([bl.unpack(r["classes"]) for _, _, r in rows])
-        of = classes[np.searchsorted(distinct, keys)] if len(keys) else classes
+        table = bl.load(folder, block)
+        flat, starts = flat_sets(table.column(text), size)
         ids = table.column(id_col).combine_chunks()
-        nodes, sizes, found, owners, at = [], [], [], [], 0
-        for tokens in sets:
-            own = of[at : at + len(tokens)]
-            at += len(tokens)
+        del table
+        distinct = flat >> U64(64 - BITS)
+        distinct.sort()
+        distinct = distinct[edges(distinct)[:-1]]
+        classes = np.concatenate([bl.unpack(r["classes"]).astype(np.uint8) for _, _, r in rows])
+        nodes, sizes, found, owners = [], [], [], []
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            tokens = flat[a:b]
+            own = classes[np.searchsorted(distinct, tokens >> U64(64 - BITS))]
             nodes.append(node_of(tokens) if len(tokens) else None)
             sizes.append(len(tokens))
             if len(tokens) and (own == 0).sum() <= errors_of(len(tokens), percent):
@@ -300,7 +339,7 @@ def join(
     starred = joined(stars, chunks(stars, "k"), "hub", n_stars)
     own_chunk = F.expr("if(node = hub, sequence(0, k - 1), array(cast(pmod(xxhash64(node), k) as int)))")
     dealt = starred.select("hub", F.explode(own_chunk).alias("i"), F.lit(0).alias("j"), F.expr("k = 1").alias("whole"), F.lit(0).alias("side"), "node")
-    found = stored(verified(with_sets(dealt), percent, n_tasks), "join-links")
+    found = stored(verified(with_sets(dealt), percent, n_tasks), "join-links", texts=True)
 
     # Strays are compared with all nodes of their star.
     strays, strays_made = measured(found.where("hub is not null").select("hub", F.col("a").alias("node")).join(stars, ["hub", "node"]), "join-strays", rows_made)
@@ -312,7 +351,7 @@ def join(
         left = members.join(strays.select("hub", "node"), ["hub", "node"], "left_semi").select("hub", "node", F.expr("cast(pmod(xxhash64(node), s) as int)").alias("i"), F.explode(F.expr("sequence(0, k - 1)")).alias("j"), F.lit(0).alias("side"))
         right = members.select("hub", "node", F.explode(F.expr("sequence(0, s - 1)")).alias("i"), F.expr("cast(pmod(xxhash64(node), k) as int)").alias("j"), F.lit(1).alias("side"))
         more = left.unionByName(right).withColumn("whole", F.lit(True))
-        links = links.unionByName(stored(verified(with_sets(more), percent, n_tasks), "join-links").select("a", "b"))
+        links = links.unionByName(stored(verified(with_sets(more), percent, n_tasks), "join-links", texts=True).select("a", "b"))
     linked = stored(graph.components(links), "join-components")
 
     # The smallest id and place of each node, then of each component; rows without a node stand alone.

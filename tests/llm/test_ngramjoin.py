@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+import tracemalloc
 
 import pytest
 
@@ -175,3 +177,47 @@ def test_hubs_of_any_share_are_joined(spark):
     keyed = rows.groupBy("k").count().selectExpr("k", "count as n", "k * 2 as w").where("k <> 3")
     got = sorted(tuple(r) for r in cluster.joined(rows, keyed, "k", 9000).collect())
     assert got == sorted((k, v, 2 * k) for k, v in ((r["k"], r["v"]) for r in rows.collect()) if k != 3)
+
+
+def test_texts_come_in_small_batches_and_a_bucket_is_held_in_few_arrays(spark, monkeypatch, tmp_path):
+    from augurline.llm import quality, textops
+
+    plain, folder = textops.trimmed, str(tmp_path)
+
+    def noted(task):
+        def run(batches):
+            sizes = [0]
+
+            def seen():
+                for batch in batches:
+                    sizes.append(batch.nbytes)
+                    yield batch
+
+            tracemalloc.start()
+            yield from task(seen())
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            with open(f"{folder}/{task.__qualname__.split('.')[0]}-{time.time_ns()}", "w") as out:
+                out.write(f"{max(sizes)} {peak}")
+
+        return plain(run)
+
+    monkeypatch.setattr(textops, "trimmed", noted)
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6):06d}" for _ in range(500)), "en") for i in range(1400)]  # one block of 5.6 MB, 700,000 words
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert ngramjoin.join(df)[1].where("stays").count() == 1400
+        assert quality.keep_good(df, spark.createDataFrame([(0, 1)], "doc_id long, quality int")).count() == 1400
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    figures = {}
+    for path in tmp_path.iterdir():
+        size, peak = map(int, path.read_text().split())
+        kind = path.name.split("-")[0]
+        figures[kind] = tuple(map(max, figures.get(kind, (0, 0)), (size, peak)))
+    assert figures["write"][0] < 2 << 20 and figures["measure"][0] < 2 << 20
+    assert figures["served"][1] < 45 * 700_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
